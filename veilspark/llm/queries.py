@@ -13,6 +13,7 @@ from .common import scratch_dir, python_operators, table
 from .exact_dedup import exact_dedup
 from .fingerprint import neighbour_fingerprints
 from .mixing import mix_sources
+from .ngram_join import ngram_components
 from .token_files import read_token_files, write_token_files
 
 BYTE_VOCAB = "byte_bpe_50k.json"
@@ -42,6 +43,11 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_operators(spark)
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
+    "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
 }
