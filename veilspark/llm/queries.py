@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .fingerprint import neighbour_fingerprints
 from .mixing import mix_sources
 from .ngram_join import ngram_components
+from .suffix_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 
 BYTE_VOCAB = "byte_bpe_50k.json"
@@ -30,6 +31,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_operators(spark)
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     python_operators(spark)
     path = path or vocab(BYTE_VOCAB)
@@ -62,6 +69,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
     "op8_ngram_join": op8_ngram_join,
