@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .suffix_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
+from .toxicity import is_toxic, score_documents, train
 
 BYTE_VOCAB = "byte_bpe_50k.json"
 WORD_VOCAB = "word_bpe_49k.json"
@@ -37,6 +38,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_operators(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+    rounded = [F.round(c, 6).alias(c) for c in scored.columns if c.startswith("p_")]
+    return scored.select("doc_id", *rounded, is_toxic(scored).alias("toxic"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     python_operators(spark)
     path = path or vocab(BYTE_VOCAB)
@@ -70,6 +79,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, path: str | None = None)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
     "op8_ngram_join": op8_ngram_join,
