@@ -12,6 +12,7 @@ from .bpe import bpe_decode, bpe_encode, ids_digest
 from .common import scratch_dir, python_operators, table
 from .exact_dedup import exact_dedup
 from .fingerprint import neighbour_fingerprints
+from .html_wrappers import extract_main_text
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .suffix_dedup import remove_repeats
@@ -32,6 +33,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_operators(spark)
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_operators(spark)
     found = remove_repeats(table(spark, sf_dir, "documents"))
@@ -78,6 +84,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_html_text": op3_html_text,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
