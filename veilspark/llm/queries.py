@@ -18,6 +18,7 @@ from .ngram_join import ngram_components
 from .suffix_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 from .toxicity import is_toxic, score_documents, train
+from .warc import crawl_of, resolve_revisits
 
 BYTE_VOCAB = "byte_bpe_50k.json"
 WORD_VOCAB = "word_bpe_49k.json"
@@ -33,6 +34,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_operators(spark)
+    found = resolve_revisits(crawl_of(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical", "ts", "outcome", "source_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers")))).alias("headers"), "payload_digest")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_operators(spark)
     return extract_main_text(table(spark, sf_dir, "pages"))
@@ -84,6 +91,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_html_text": op3_html_text,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
