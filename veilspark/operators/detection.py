@@ -83,14 +83,14 @@ def vault(df: DataFrame, session_col: str = "session_id", cfg: Vault = Vault(),
 
 
 def token_mentions(df: DataFrame, id_col: str, text_col: str, session_col: str = "session_id") -> DataFrame:
-    """One row per placeholder in a text: id, session, token, and its position."""
+    """One row per placeholder in a text: its row's id as ``__id``, session, token and position."""
     tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(R.PLACEHOLDER), F.lit(0))
-    return df.select(id_col, F.col(session_col).alias("session_id"), F.posexplode(tokens).alias("pos", "token"))
+    return df.select(F.col(id_col).alias("__id"), F.col(session_col).alias("session_id"), F.posexplode(tokens).alias("pos", "token"))
 
 
 def unknown_tokens(df: DataFrame, vault_rows: DataFrame, id_col: str = "doc_id", text_col: str = "output", session_col: str = "session_id") -> DataFrame:
     """Placeholders, repeats included, that the row's own session never issued."""
-    return token_mentions(df, id_col, text_col, session_col).join(vault_rows.select("session_id", "token"), ["session_id", "token"], "left_anti").select(id_col, "session_id", "token", "pos")
+    return token_mentions(df, id_col, text_col, session_col).join(vault_rows.select("session_id", "token"), ["session_id", "token"], "left_anti").select(F.col("__id").alias(id_col), "session_id", "token", "pos")
 
 
 def restore(df: DataFrame, vault_rows: DataFrame, id_col: str = "doc_id", text_col: str = "output", session_col: str = "session_id") -> DataFrame:
@@ -100,7 +100,7 @@ def restore(df: DataFrame, vault_rows: DataFrame, id_col: str = "doc_id", text_c
     """
     mentions = token_mentions(df, id_col, text_col, session_col)
     found = mentions.join(vault_rows.select("session_id", "token", "value"), ["session_id", "token"], "left")
-    per_row = found.groupBy(F.col(id_col).alias("__i")).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "value"))).alias("__m"), F.count("value").alias("__k"), F.count_if(F.col("value").isNull()).alias("__u"))
+    per_row = found.groupBy(F.col("__id").alias("__i")).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "value"))).alias("__m"), F.count("value").alias("__k"), F.count_if(F.col("value").isNull()).alias("__u"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = df.select(id_col, text.alias("__t")).join(per_row, F.col(id_col) == F.col("__i"), "left")
     gaps = F.split("__t", R.PLACEHOLDER, -1)
@@ -125,5 +125,8 @@ def counts_by_type(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def summary(types: F.Column) -> F.Column:
     """``TYPE=n, TYPE=n`` in the order of the types, or ``none``."""
-    parts = [F.when(F.size(F.filter(types, lambda x, t=t: x == t)) > 0, F.concat(F.lit(f"{t}="), F.size(F.filter(types, lambda x, t=t: x == t)).cast("string"))) for t, _ in R.ENTITY_TYPES]
+    def number(t: str) -> F.Column:
+        return F.size(F.filter(types, lambda x: x == F.lit(t)))
+
+    parts = [F.when(number(t) > 0, F.concat(F.lit(f"{t}="), number(t).cast("string"))) for t, _ in R.ENTITY_TYPES]
     return F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("")), F.lit("none"))

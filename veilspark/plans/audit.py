@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ def process(prompts: DataFrame, cfg: Settings = Settings(), key: bytes = TEST_KE
     rows = prompts.withColumn("verdict", S.verdict(S.first_rule(text), label, confidence, cfg.screening.threshold, cfg.screening.fail_closed))
     clear = F.when(~F.col("verdict.attack"), F.col("text"))
     rows = D.redact(rows.withColumn("__clear", clear), "session_id", "session_id", "__clear", cfg=cfg.vault, key=key).drop("__clear")
-    rows = rows.withColumn("__n", N.apply_noise(F.col("redacted"), F.col("session_id"), cfg.noise, key))
+    # kept, since the ledger, the texts and the reports all start here; a lost block is computed again
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.withColumn("__n", N.apply_noise(F.col("redacted"), F.col("session_id"), cfg.noise, key)).persist(StorageLevel.MEMORY_AND_DISK)
     wants = F.coalesce("apply_noise", F.lit(True)) & ~F.col("verdict.attack")
     rows = rows.withColumn("__cost", F.when(wants, F.col("__n.epsilon")).otherwise(F.lit(0.0)))
     ledger = K.budget_decisions(rows.where("__cost > 0").select(F.col("session_id").alias("__s"), "subject", "ts", "__cost"), "subject", "ts", "__s", "__cost", cfg.noise).select("__s", F.col("allowed").alias("__ok"))
