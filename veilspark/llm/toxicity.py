@@ -5,7 +5,7 @@ training these are out-of-fold predictions, so that a later model sees earlier p
 use. The labels give one verdict per document; the categories before it are weak labels: a document labelled toxic that
 uses a word of the category's list. The last link of the chain is the verdict itself.
 
-Features are presences of words, hashed to ``2**FEATURE_BITS`` columns. A column is used only if it goes with a label
+Features are presences of words, hashed to ``2**FEATURE_BITS`` columns, and of any word of a category's list. A column is used only if it goes with a label
 more often than chance allows over distinct training texts, so that a text's length or topic adds nothing.
 """
 
@@ -34,6 +34,8 @@ FOLDS = 5
 #: Least number of distinct training texts with a word, and its least log odds in standard deviations.
 MIN_TEXTS = 5
 MIN_SCORE = 4.0
+#: Columns that a category brings in, the strongest first.
+MAX_COLUMNS = 48
 THRESHOLD = 0.5
 EDGE = ".,;:!?\"'()[]{}<>*#%&$-_"
 
@@ -56,11 +58,25 @@ def _clean(texts: list) -> list[str]:
 _SPACES = {ord(c): " " for c in EDGE}
 
 
+def _lists() -> list[np.ndarray]:
+    return [np.array([word_hashes([w])[1][0] for w in ws], np.uint64) for ws in CATEGORIES.values()]
+
+
+#: Word columns, then one column per category for any word of its list.
+WIDTH = (1 << FEATURE_BITS) + len(CATEGORIES)
+
+
 def columns(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, distinct feature columns) of each text."""
     offsets, hashes = word_hashes(_clean(texts))
     cols = (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
-    parts = [np.unique(cols[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    listed = np.full(len(hashes), -1, np.int32)
+    for c, words in enumerate(_lists()):
+        listed[np.isin(hashes, words)] = (1 << FEATURE_BITS) + c
+    parts = []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        extra = listed[a:b][listed[a:b] >= 0]
+        parts.append(np.unique(np.concatenate([cols[a:b], extra]) if len(extra) else cols[a:b]))
     return np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.concatenate(parts) if parts else cols[:0]
 
 
@@ -80,29 +96,29 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int, id_col: st
             texts = frame["text"].tolist()
             offsets, cols = columns(texts)
             word_at, hashes = word_hashes(_clean(texts))
-            lists = [np.array([word_hashes([w])[1][0] for w in CATEGORIES[n]], np.uint64) for n in names]
+            lists = _lists()
             out = []
             for i, (ident, label) in enumerate(zip(frame["__id"], frame["label"], strict=True)):
                 own = hashes[word_at[i] : word_at[i + 1]]
                 weak = [bool(np.isin(own, ws).any()) for ws in lists]
                 sh = word_shingles(own)
                 signature = [int((sh * np.uint64(k)).min()) >> 1 if len(sh) else 0 for k in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                out.append((ident, int(label), weak, cols[offsets[i] : offsets[i + 1]].tolist(), signature))
+                out.append((ident, int(label), weak, cols[offsets[i] : offsets[i + 1]].tobytes(), signature))
             yield pd.DataFrame(out, columns=["id", "label", "weak", "cols", "signature"])
 
     joined = docs.join(lab, F.col("__id") == F.col("__l")).select("__id", "text", "label")
-    return joined.mapInPandas(run, "id long, label int, weak array<boolean>, cols array<int>, signature array<long>").collect()
+    return joined.mapInPandas(run, "id long, label int, weak array<boolean>, cols binary, signature array<long>").collect()
 
 
-def _logistic(design: np.ndarray, y: np.ndarray, penalty: float = 0.3) -> np.ndarray:
-    """Newton's method with an L2 penalty on all but the last (bias) column."""
+def _logistic(design: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.3) -> np.ndarray:
+    """Newton's method on weighted rows with an L2 penalty on all but the last (bias) column."""
     w = np.zeros(design.shape[1])
     ridge = np.full(design.shape[1], penalty)
     ridge[-1] = 1e-6
     for _ in range(25):
         p = sigmoid(design @ w)
-        grad = design.T @ (p - y) + ridge * w
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
+        grad = design.T @ (weight * (p - y)) + ridge * w
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -121,7 +137,7 @@ def fit_chain(rows: list, folds: int = FOLDS) -> Chain:
             kept.append(r)
         seen |= keys
     names = (*CATEGORIES, "toxic")
-    k, width = len(names), 1 << FEATURE_BITS
+    k, width = len(names), WIDTH
     y_all = np.array([[*(bool(x) and r["label"] > 0 for x in r["weak"]), r["label"] > 0] for r in kept], float).reshape(len(kept), k)
     words, earlier, bias = np.zeros((k, width), np.float32), np.zeros((k, k)), np.full(k, -6.0)
     chosen: set[int] = set()
@@ -132,31 +148,35 @@ def fit_chain(rows: list, folds: int = FOLDS) -> Chain:
             continue
         with_1, with_0 = np.zeros(width), np.zeros(width)
         for r, y in zip(kept, y_all[:, c], strict=True):
-            (with_1 if y else with_0)[r["cols"]] += 1
+            (with_1 if y else with_0)[np.frombuffer(r["cols"], np.int32)] += 1
         odds = np.log((with_1 + 0.5) / (n1 - with_1 + 0.5)) - np.log((with_0 + 0.5) / (n0 - with_0 + 0.5))
         spread = np.sqrt(1 / (with_1 + 0.5) + 1 / (n1 - with_1 + 0.5) + 1 / (with_0 + 0.5) + 1 / (n0 - with_0 + 0.5))
         good = np.flatnonzero((with_1 + with_0 >= MIN_TEXTS) & (odds / spread >= MIN_SCORE))
-        chosen |= set(good[np.argsort(-(odds / spread)[good], kind="stable")][:512].tolist())
+        chosen |= set(good[np.argsort(-(odds / spread)[good], kind="stable")][:MAX_COLUMNS].tolist())
     used = np.array(sorted(chosen), np.int64)
     index = np.full(width, -1)
     index[used] = np.arange(len(used))
     x = np.zeros((len(kept), len(used)))
     for i, r in enumerate(kept):
-        at = index[r["cols"]]
+        at = index[np.frombuffer(r["cols"], np.int32)]
         x[i, at[at >= 0]] = 1
-    fold = np.arange(len(kept)) % folds
-    oof = np.zeros((len(kept), k))
-    one = np.ones((len(kept), 1))
+    # most texts show none of the columns: equal rows of a fold become one row with a weight
+    rows_of = np.hstack([x, y_all, (np.arange(len(kept)) % folds)[:, None]])
+    rows_of, weight = np.unique(rows_of, axis=0, return_counts=True)
+    x, y_all, fold = rows_of[:, : len(used)], rows_of[:, len(used) : len(used) + k], rows_of[:, -1]
+    oof = np.zeros((len(x), k))
+    one = np.ones((len(x), 1))
     for c in range(k):
         y = y_all[:, c]
         design = np.hstack([x, oof[:, :c], one])
-        if y.sum() < MIN_TEXTS or (1 - y).sum() < MIN_TEXTS:
-            oof[:, c] = y.mean() if len(y) else 0.0
-            bias[c] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -6.0
+        n1, n = float(weight @ y), float(weight.sum())
+        if n1 < MIN_TEXTS or n - n1 < MIN_TEXTS:
+            oof[:, c] = n1 / n if n else 0.0
+            bias[c] = np.log((n1 + 0.5) / (n - n1 + 0.5)) if n else -6.0
             continue
         for f in range(folds):
-            oof[fold == f, c] = sigmoid(design[fold == f] @ _logistic(design[fold != f], y[fold != f]))
-        w = _logistic(design, y)
+            oof[fold == f, c] = sigmoid(design[fold == f] @ _logistic(design[fold != f], y[fold != f], weight[fold != f]))
+        w = _logistic(design, y, weight)
         words[c, used], earlier[c, :c], bias[c] = w[: len(used)], w[len(used) : -1], w[-1]
     return Chain(names, words, earlier, bias)
 
