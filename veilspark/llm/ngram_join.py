@@ -9,8 +9,9 @@ whose count over all blocks is below ``need - max(n_a - p_a, n_b - p_b)`` (p: pr
 
 A block with a large family of near copies is not multiplied out. A few leaders are compared with all others first; what
 they link becomes one component, and only classes outside the block's largest component go on to be compared, in the
-last round with everything outside their own component. So no link between different components is lost, and pairs within
-a component are not needed.
+last round with everything outside their own component. Only that round's counts, together with those of the small
+blocks, are whole for pairs that share a large block, so what an earlier round discards there is judged again. No link
+between different components is lost, and pairs within a component are not needed.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ PERCENT = 80
 SLOT_BITS = 20
 PARTS = 64
 #: Classes of a block that lead a round; smaller blocks are multiplied out at once.
-LEADERS = 24
-ROUNDS = 3
+LEADERS = 48
+ROUNDS = 2
+#: Share of a block that one component must hold for another round of leaders to be worth it before the last round.
+FAMILY = 0.25
 
 
 def need_of(a, b):
@@ -211,26 +214,28 @@ def _rank(cid: np.ndarray, salt: int) -> np.ndarray:
 
 
 def first_products(blocks: DataFrame) -> DataFrame:
-    """Round 1. Small groups are multiplied out, of large ones only the rows of the leaders."""
+    """Round 1. Small groups are multiplied out (``small``), of large ones only the rows of the leaders."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = _Accumulator()
+        small, large = _Accumulator(), _Accumulator()
         for frame in frames:
             for data in frame["data"]:
                 for g in _groups(np.frombuffer(data, POSTING)):
                     if len(g) <= LEADERS:
                         i, j = np.triu_indices(len(g), 1)
-                        pairs.add(g[i], g[j])
+                        small.add(g[i], g[j])
                     else:
                         g = g[np.argsort(_rank(np.ascontiguousarray(g["cid"]), 0))]
                         for k in range(LEADERS):
-                            pairs.add(np.broadcast_to(g[k : k + 1], len(g) - k - 1), g[k + 1 :])
-                    if pairs.full():
-                        yield pairs.take()
-        if pairs.size:
-            yield pairs.take()
+                            large.add(np.broadcast_to(g[k : k + 1], len(g) - k - 1), g[k + 1 :])
+                    for pairs in (small, large):
+                        if pairs.full():
+                            yield pairs.take().assign(small=pairs is small)
+        for pairs in (small, large):
+            if pairs.size:
+                yield pairs.take().assign(small=pairs is small)
 
-    return blocks.mapInPandas(run, PAIRS)
+    return blocks.mapInPandas(run, PAIRS + ", small boolean")
 
 
 def large_groups(blocks: DataFrame) -> DataFrame:
@@ -256,6 +261,8 @@ def later_products(groups: DataFrame, salt: int, last: bool) -> DataFrame:
         if len(names) < 2:
             return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in PAIRS.split(", ")})
         main = int(size.argmax())
+        if not last and size[main] < FAMILY * len(g):
+            return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in PAIRS.split(", ")})
         outside = np.flatnonzero(where != main)
         inside = np.flatnonzero(where == main)
         order = lambda x: x[np.argsort(_rank(np.ascontiguousarray(g["cid"][x]), salt))]
@@ -263,9 +270,11 @@ def later_products(groups: DataFrame, salt: int, last: bool) -> DataFrame:
         done = np.zeros(len(g), bool)
         pairs, made = _Accumulator(), []
         for k in partners:
-            meet = outside[~done[outside] & (where[outside] != where[k])]
-            if where[k] != main:
+            if where[k] == main:
+                meet = outside
+            else:  # each pair outside the main component once
                 done[k] = True
+                meet = outside[~done[outside] & (where[outside] != where[k])]
             pairs.add(np.broadcast_to(g[k : k + 1], len(meet)), g[meet])
             if pairs.full():
                 made.append(pairs.take())
@@ -284,6 +293,18 @@ def survivors(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("c") >= need - rest).select("a", "b")
 
 
+def pack48(shingles: np.ndarray) -> bytes:
+    """A set as the upper six bytes of its hashes: two of a pair's shingles that agree there can add to their overlap only
+    with a chance of ``n * n / 2**48``, and can never take from it. Hashes of one set that agree keep their number."""
+    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpack48(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, shingles): the whole sets of the wanted classes (doc_id, cid), from their documents' texts."""
     rows = docs.join(wanted.withColumnRenamed("doc_id", "__w"), F.col("doc_id").eqNullSafe(F.col("__w"))).select("cid", "text")
@@ -291,7 +312,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _texts(frames):
             found = [(int(c), s) for c, s in zip(ids, _sets(texts), strict=True) if len(s) and _set_id(s) == int(c)]
-            yield pd.DataFrame({"cid": [c for c, _ in found], "shingles": [s.tobytes() for _, s in found]})
+            yield pd.DataFrame({"cid": [c for c, _ in found], "shingles": [pack48(s) for _, s in found]})
 
     return rows.mapInPandas(run, "cid long, shingles binary")
 
@@ -305,9 +326,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for frame in frames:
             ok = []
             for x, y in zip(frame["sa"], frame["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                both = np.intersect1d(unpack48(x), unpack48(y), assume_unique=True).size
+                x, y = len(x) // 6, len(y) // 6
+                ok.append(100 * both >= PERCENT * (x + y - both))
             yield frame.loc[ok, ["a", "b"]]
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
@@ -330,16 +351,24 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = meta.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     blocks = materialize(shared(postings(docs, level, 4 * shuffle_partitions(spark))), "postings")
     groups = materialize(large_groups(blocks), "large")
-    pairs = materialize(survivors(first_products(blocks)), "pairs")
+    products = materialize(first_products(blocks), "products")
+    pairs = materialize(survivors(products), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(groups.select("cid")).distinct().join(classes.select("cid", "doc_id"), "cid")
-    sets = materialize(fetch_sets(docs, wanted), "sets").dropDuplicates(["cid"])
+    sets = materialize(fetch_sets(docs, wanted), "sets")
     links = materialize(verify(pairs, sets), "links")
     found = materialize(connected_components(links), "components")
     for salt in range(1, ROUNDS + 1):
         placed = groups.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("component"))
         if not placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").take(1):
             break
-        more = materialize(verify(survivors(later_products(placed, salt, salt == ROUNDS)), sets), "links")
+        counts = later_products(placed, salt, salt == ROUNDS)
+        if salt == ROUNDS:  # what pairs share in small groups, so that their counts are whole and the bound is exact
+            beside = products.where("small").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("c").alias("more"))
+            counts = counts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
+            counts = counts.join(beside, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").withColumn("c", F.col("c") + F.coalesce("more", F.lit(0)))
+        fresh = materialize(survivors(counts).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.unionByName(fresh)
+        more = materialize(verify(fresh, sets), "links")
         links = links.unionByName(more)
         if more.take(1):
             found = materialize(connected_components(links), "components")
