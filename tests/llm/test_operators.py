@@ -234,9 +234,12 @@ def test_html(spark):
     rows = [(i, f"http://h.example/{i}", page(i, f"<p>more {i}</p>" * (i % 3))) for i in range(6)] + [(9, None, None), (10, "x", ""), (11, "http://o.example/", "<p>bare text<div>cut")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r for r in extract_main_text(pages).collect()}
-    assert got[0]["text"] == "Head 0\nOne & 0 two\nThree 0" and got[2]["text"].count("more 2") == 2
+    assert got[0]["text"] == "Head 0\nOne & 0 two\nThree 0\nAlways here" and got[2]["text"].count("more 2") == 2
     assert got[9]["text"] == "" and got[10]["n_chars"] == 0 and got[11]["text"] == "bare text\ncut"
     assert infer_wrappers(pages).count() == 3 and len(got) == 9
+    plain = [(i, f"http://p.example/{i}", f"<body><p>Welcome to us</p><h2>T{i}</h2><p>text {i}</p></body>") for i in range(4)]
+    bare = extract_main_text(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in bare} == {f"T{i}\ntext {i}" for i in range(4)}
     both = expression(align(signature(blocks_of(page(1))), signature(blocks_of(page(2, "<p>x</p><p>y</p>")))))
     assert "+" in both and "fixed" in both
 

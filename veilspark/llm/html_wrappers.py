@@ -6,8 +6,9 @@ wrapper so far: what both have is matched, what one lacks becomes optional, and
 its fixed string into a slot. The result is a regular expression without unions: fixed texts, slots, optional and
 repeated groups. Partial wrappers of the same host align in the same way, so inference combines before the shuffle.
 
-Slots and fixed texts get their role from the wrapper: outside the article, in a menu, header, footer, sidebar, notice,
-advert, form or comment, a block is furniture; within it, a text that stays fixed over several different pages is, too.
+Slots and fixed texts get their role from the wrapper: in a menu, header, footer, sidebar, notice, advert, form or comment
+a block is furniture. Where a page marks its article, all else in there is text, as articles may share passages. Where it
+marks none, a text that stays fixed over several different pages of the host is furniture, too.
 """
 
 from __future__ import annotations
@@ -234,7 +235,7 @@ def main_text(blocks: list[Block], wrapper: list[list]) -> str:
     article = [b for b in clean if b.article]
     body = article or [b for b in clean if not b.linked]
     if varied and fixed:
-        body = [b for b in body if (b.key, _mark(b.text)) not in fixed] or body
+        body = [b for b in body if b.article or (b.key, _mark(b.text)) not in fixed] or body
     return "\n".join(b.text for b in body)
 
 
