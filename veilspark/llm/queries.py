@@ -82,7 +82,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    python_operators(spark)
+    python_operators(spark, 1024)
     files = f"{scratch_dir(spark).rstrip('/')}/veilspark/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), files, path or vocab(WORD_VOCAB), 1)
     back = read_token_files(spark, files)

@@ -15,6 +15,7 @@ table, so that Spark's commit protocol makes a write whole or absent and any fil
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -32,13 +33,20 @@ BLOCK = 4096
 #: Ids in an image before the next one begins; a document is never split.
 IMAGE_IDS = 1 << 20
 NO_ID = -(1 << 63)
-MEMORY = 1_000_000
+MEMORY = 600_000
+#: A row per image; ``inner`` counts the ids of the range's images before it.
+IMAGES = "bucket int, image long, inner long, n_docs long, n_ids long, data binary"
 
 
 def bits_for(vocab_size: int) -> int:
     return max(1, (vocab_size - 1).bit_length())
 
 
+def word_of(bits: int) -> np.dtype:
+    """The machine word that carries ids between tasks."""
+    return np.dtype("<u2" if bits <= 16 else "<u4")
+
+
 def pack_block(ids: np.ndarray, bits: int) -> bytes:
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
@@ -95,10 +103,13 @@ class WordTokenizer:
     """The ``tokenizers`` library with a memory of the ids of white-space-delimited pieces.
 
     Only for files whose pretokenizer drops white space: then a text's ids are those of its pieces in order. A piece of
-    ASCII letters with one full stop or comma is looked up as the two pretokens that it consists of.
+    ASCII letters with one full stop or comma is looked up as the two pretokens that it consists of, and ASCII letters in
+    lower case where the file's normalizer does the same.
     """
 
     def __init__(self, path: str):
+        # one core is one task's share; the library would start a thread for each core of the machine
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,6 +117,7 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memory: dict[str, bytes] = {}
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
 
     def _learn(self, pieces: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -116,6 +128,8 @@ class WordTokenizer:
         if len(self.memory) > MEMORY:
             self.memory.clear()
         memory = self.memory
+        if self.lowers:
+            pieces = [p.lower() if p.isascii() and "<" not in p else p for p in pieces]
         parts = [(p[:-1], p[-1]) if p[-1:] in ".," and p.isascii() and p[:-1].isalpha() else (p,) for p in pieces]
         if unknown := list({w for ws in parts for w in ws if w not in memory}):
             self._learn(unknown)
@@ -146,15 +160,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def packed_documents(df: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, packed): the ids of each whole text and the end id, as little-endian 32-bit words. Narrow."""
+def packed_documents(df: DataFrame, vocab_path: str, end_id: int, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, packed): the ids of each whole text and the end id, as little-endian words of ``word_of``. Narrow."""
+    word = word_of(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocab_path).encode_batch
-        end = np.uint32(end_id).tobytes()
+        end = word.type(end_id).tobytes()
         for batch in batches:
             offsets, ids = encode(batch.column(1))
-            data, at = ids.tobytes(), (offsets * 4).tolist()
+            data, at = ids.astype(word).tobytes(), (offsets * word.itemsize).tolist()
             packed = [data[a:b] + end for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
@@ -172,47 +187,46 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, end_id: int, id
     parts = shuffle_partitions(df.sparkSession)
     ids = df.select(F.col(id_col).cast("long").alias("doc_id"))
     bucket = range_bucket(ids, "doc_id", parts)
-    rows = packed_documents(df, vocab_path, end_id, id_col, text_col).withColumn("bucket", bucket)
+    rows = packed_documents(df, vocab_path, end_id, bits, id_col, text_col).withColumn("bucket", bucket)
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
-        state = {"bucket": None, "image": 0, "n": 0}
+        state = {"bucket": None, "image": 0, "n": 0, "inner": 0}
+        word = word_of(bits)
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(p) // 4 for _, p in held], np.int64)
-            data = pack_image(np.array([i for i, _ in held], np.int64), lengths, np.frombuffer(b"".join(p for _, p in held), np.uint32), bits, block)
-            row = {"bucket": [state["bucket"]], "image": [state["image"]], "n_docs": [len(held)], "n_ids": [int(lengths.sum())], "data": [data]}
+            lengths = np.array([len(p) // word.itemsize for _, p in held], np.int64)
+            data = pack_image(np.array([i for i, _ in held], np.int64), lengths, np.frombuffer(b"".join(p for _, p in held), word), bits, block)
+            row = {"bucket": [state["bucket"]], "image": [state["image"]], "inner": [state["inner"]], "n_docs": [len(held)], "n_ids": [int(lengths.sum())], "data": [data]}
             held.clear()
-            state.update(image=state["image"] + 1, n=0)
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("bucket", pa.int32()), ("image", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())]))
+            state.update(image=state["image"] + 1, n=0, inner=state["inner"] + int(lengths.sum()))
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("bucket", pa.int32()), ("image", pa.int64()), ("inner", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())]))
 
         for batch in batches:
             for doc, packed, bucket_no in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held and (bucket_no != state["bucket"] or state["n"] + len(packed) // 4 > image_ids):
+                if held and (bucket_no != state["bucket"] or state["n"] + len(packed) // word.itemsize > image_ids):
                     yield flush()
                 if bucket_no != state["bucket"]:
-                    state.update(bucket=bucket_no, image=0)
+                    state.update(bucket=bucket_no, image=0, inner=0)
                 held.append((NO_ID if doc is None else doc, packed))
-                state["n"] += len(packed) // 4
+                state["n"] += len(packed) // word.itemsize
         if held:
             yield flush()
 
-    rows.mapInArrow(run, "bucket int, image long, n_docs long, n_ids long, data binary").write.parquet(path)
+    rows.mapInArrow(run, IMAGES).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the images below ``path``: ``doc_id, start, ids`` (binary, 32-bit little-endian words).
 
-    ``start`` counts the ids of all documents before it. Image sizes are summed per range first, then the ranges are
-    scanned (as many rows as there were write tasks), so no task sees more than one range's image headers.
+    ``start`` counts the ids of all documents before it. The sizes of the ranges, one row per write task, are scanned and
+    broadcast; images stay where they are read.
     """
-    images = spark.read.schema("bucket int, image long, n_docs long, n_ids long, data binary").parquet(path)
-    sizes = images.select("bucket", "image", "n_ids")
-    before = Window.partitionBy("bucket").orderBy("image").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = sizes.withColumn("inner", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(ranges, "bucket").select("bucket", "image", (F.col("base") + F.col("inner")).alias("start"))
-    placed = images.join(starts, ["bucket", "image"]).select("start", "data")
+    images = spark.read.schema(IMAGES).parquet(path)
+    ranges = images.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
+    ranges = ranges.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = images.join(F.broadcast(ranges), "bucket").select((F.col("base") + F.col("inner")).alias("start"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
