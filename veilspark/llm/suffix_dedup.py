@@ -6,8 +6,8 @@
    one class cannot be part of any other repeat; this is most of a corpus and goes no further.
 3. Merge. The first occurrences of the classes of one anchor differ somewhere but may share windows. Their segments are
    cut into shards; each shard's suffixes are sorted once for its transform. All shards are then merged by refining the
-   interleave: round h puts suffixes in order of their first h bytes, by one stable pass over the transforms. A border
-   that first shows in round h + 1 has a common prefix of h bytes, so after ``LENGTH`` rounds the runs without a border
+   interleave: each round puts suffixes in order of two bytes more, by one stable pass over the transforms. A border that
+   first shows after h bytes has a common prefix shorter than that, so after ``LENGTH`` bytes the runs without a border
    are the repeated intervals. Of the windows in a run, all but the first of the corpus are repeats.
 4. The repeats of a document are united and cut out.
 """
@@ -177,87 +177,89 @@ def classes(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(run, "doc_id long, spans binary, first binary")
 
 
-def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, transform) of the segments, each with an end mark of its own below all bytes; marks read 0 here."""
-    m = len(segments)
-    text = np.frombuffer(b"\x00".join(segments) + b"\x00", np.uint8)
-    ends = np.cumsum([len(s) + 1 for s in segments]) - 1
-    rank = text.astype(np.int64) + m
-    rank[ends] = np.arange(m)
-    n, k = len(text), 1
-    while True:
-        key = rank * (int(rank.max()) + 2)
-        key[:-k] += rank[k:] + 1
+def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, suffix array, rank) of the segments, each with an end mark of its own below all bytes; marks read 0.
+
+    The first key holds seven symbols of nine bits; ranks then double their reach until every suffix is alone.
+    """
+    sizes = np.array([len(s) + 1 for s in segments], np.int64)
+    text = np.frombuffer(b"\x00".join(segments) + b"\x00", np.uint8).astype(np.int64) + 1
+    text[np.cumsum(sizes) - 1] = 0
+    n = len(text)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # symbols to the end of the segment, its mark included
+    key = np.zeros(n, np.int64)
+    for i in range(7):
+        key <<= 9
+        if i < n:
+            key[: n - i] |= np.where(left[: n - i] > i, text[i:], 0)
+    order = np.argsort(key, kind="stable")
+    shown = key[order]
+    new = np.ones(n, np.int64)
+    new[1:] = (shown[1:] != shown[:-1]) | (shown[1:] & 511 == 0)  # a key that reaches its mark is alone
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
+    k = 7
+    while rank[order[-1]] < n - 1:
+        key = rank * n
+        key[:-k] += rank[k:]
         order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-        rank = np.empty(n, np.int64)
+        shown = key[order]
+        new = np.cumsum(np.concatenate([[0], shown[1:] != shown[:-1]]))
         rank[order] = new
         k *= 2
-        if new[-1] == n - 1 or k >= n:
-            break
-    shown = text.astype(np.int16) + 1
-    shown[ends] = 0
-    return order, shown[order - 1]
+    return text, order, rank
 
 
-def merge_transforms(transforms: list[np.ndarray], marks: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, border) of the merged transform after ``rounds`` rounds.
+def repeated_windows(segments: list[bytes], docs: np.ndarray, begins: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, start) of every window of the segments that also occurs earlier among them.
 
-    ``interleave[i]`` is the shard of the i-th suffix; ``border[i]`` is true where the suffixes i - 1 and i differ within
-    their first ``rounds`` bytes. End marks differ from everything.
+    The interleave holds suffixes by their places in the shards' orders. A round takes from each place's transform the
+    two symbols before it (``symbols``), puts the suffixes so extended in order by one stable pass, and steps to their
+    places (``before``). Runs without a border share a prefix of as many bytes as have been put before them. A suffix
+    alone in its run stays alone and leaves; only suffixes that extend to a whole window take part.
     """
-    sizes = [len(t) for t in transforms]
-    shards = np.arange(len(transforms), dtype=np.uint16)
-    data = np.concatenate(transforms)
-    interleave = np.repeat(shards, sizes)
-    n, m = len(data), sum(marks)
-    top = np.repeat(shards, marks)  # suffixes that begin with an end mark: in the order of the marks, at all times
-    border = np.zeros(n, bool)
-    border[0] = True
-    chars = np.empty(n, np.int16)
-    for _ in range(rounds):
-        chars[np.argsort(interleave, kind="stable")] = data
-        perm = np.argsort(chars, kind="stable")
-        block = np.cumsum(border)[perm]
-        interleave = interleave[perm]
-        interleave[:m] = top
-        here = chars[perm]
-        border = np.ones(n, bool)
-        border[1:] = (here[1:] != here[:-1]) | (block[1:] != block[:-1])
-        border[:m] = True
-        if border.all():
-            break
-    return interleave, border
-
-
-def repeated_windows(segments: list[bytes], docs: np.ndarray, begins: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of every window of the segments that also occurs earlier among them."""
     sizes = np.array([len(s) for s in segments], np.int64)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes + 1) // shard, prepend=-1))
-    arrays, transforms, marks, owner, offset = [], [], [], [], []
+    symbols, before, owner, offset, start = [], [], [], [], []
+    base = 0
     for a, b in zip(cuts, [*cuts[1:], len(segments)], strict=True):
-        order, transform = suffix_order(segments[a:b])
-        which = np.repeat(np.arange(a, b), sizes[a:b] + 1)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(sizes[a:b] + 1) - (sizes[a:b] + 1), sizes[a:b] + 1)
+        text, order, rank = suffix_order(segments[a:b])
+        n = len(text)
+        two = (order - 2) % n
+        symbols.append(((text[order - 1] & 255) | ((text[two] & 255) << 8)).astype(np.uint16))  # a byte b reads b + 1 modulo 256
+        before.append(rank[two].astype(np.int32) + base)
+        which = np.repeat(np.arange(a, b, dtype=np.int32), sizes[a:b] + 1)
+        inner = np.arange(n) - np.repeat(np.cumsum(sizes[a:b] + 1) - (sizes[a:b] + 1), sizes[a:b] + 1)
         owner.append(which[order])
-        offset.append(inner[order])
-        transforms.append(transform)
-        marks.append(b - a)
-        arrays.append(len(order))
-    interleave, border = merge_transforms(transforms, marks, length)
-    place = np.empty(len(interleave), np.int64)
-    place[np.argsort(interleave, kind="stable")] = np.arange(len(interleave))
-    seg, off = np.concatenate(owner)[place], np.concatenate(offset)[place]
-    run = np.cumsum(border)
-    whole = off + length <= sizes[seg]
-    run, doc, start = run[whole], docs[seg[whole]], begins[seg[whole]] + off[whole]
-    order = np.lexsort((start, doc, run))
-    run, doc, start = run[order], doc[order], start[order]
+        offset.append(inner[order].astype(np.int32))
+        start.append(np.flatnonzero(offset[-1] >= length) + base)
+        base += n
+    symbols, before = np.concatenate(symbols), np.concatenate(before)
+    at = np.concatenate(start)
+    run = np.zeros(len(at), np.int64)
+    for _ in range(length // 2):
+        if len(at) < 2:
+            at, run = at[:0], run[:0]
+            break
+        here = symbols[at]
+        perm = np.argsort(here, kind="stable")
+        here, run, at = here[perm], run[perm], before[at[perm]]
+        border = np.ones(len(at) + 1, bool)
+        border[1:-1] = (here[1:] != here[:-1]) | (run[1:] != run[:-1])
+        run = np.cumsum(border[:-1])
+        shared = ~(border[:-1] & border[1:])
+        if not shared.all():
+            run, at = run[shared], at[shared]
+    if not len(at):
+        return docs[:0], begins[:0]
+    seg, off = np.concatenate(owner)[at], np.concatenate(offset)[at]
+    doc, begin = docs[seg], begins[seg] + off
+    order = np.lexsort((begin, doc, run))
+    run, doc, begin = run[order], doc[order], begin[order]
     head = np.flatnonzero(np.diff(run, prepend=-1))
     to = np.repeat(head, np.diff(np.concatenate([head, [len(run)]])))
-    again = (doc != doc[to]) | (start != start[to])
-    return doc[again], start[again]
+    again = (doc != doc[to]) | (begin != begin[to])
+    return doc[again], begin[again]
 
 
 def merged_spans(docs: DataFrame, firsts: DataFrame, buckets: int, length: int, gram: int, shard: int) -> DataFrame:
@@ -310,8 +312,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     overlaps count; matches never cross documents. Null text counts as empty. A null id comes last and stays null. Ids
     tell documents apart: rows that repeat an id and its text are one document that is returned for each row; with
     different texts under one id, each gets the spans found under that id. An empty table gives an empty result. Other
-    columns are ignored.
+    columns are ignored. ``length`` must be even.
     """
+    if length % 2 or gram > length:
+        raise ValueError("length must be even and at least gram")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = 4 * shuffle_partitions(df.sparkSession)
     found = materialize(classes(anchor_rows(docs, buckets, length, gram), length, gram), "classes")
