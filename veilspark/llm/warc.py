@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Header fields of a 304 answer that never replace stored ones.
 KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -132,6 +134,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     revisit = (F.col("kind") == "revisit") & ((F.col("status") == 304) | F.col("profile").contains("server-not-modified"))
     rows = records.select("record_id", "url", canonical_url(F.col("url")).alias("canonical"), "ts", F.coalesce(full, F.lit(False)).alias("full"), F.coalesce(revisit, F.lit(False)).alias("again"), F.coalesce("headers", F.expr("cast(map() as map<string,string>)")).alias("headers"), "payload_digest")
     rows = rows.where("full or again").withColumn("bucket", F.floor(F.unix_seconds("ts") / bucket_seconds))
+    rows = materialize(rows, "captures")  # read three times; bodies stay behind
     stored = F.struct(F.col("ts"), F.col("record_id"), F.to_json("headers").alias("headers"), F.col("payload_digest"))
     tops = rows.where("full and canonical is not null").groupBy("canonical", "bucket").agg(F.max(stored).alias("top"))
     keys = rows.select("canonical", "bucket").where("canonical is not null").distinct()
