@@ -34,7 +34,7 @@ def features() -> Pipeline:
 
 
 def _regression(features_col: str, out: str, reg: float) -> LogisticRegression:
-    return LogisticRegression(featuresCol=features_col, labelCol="label", weightCol="weight", regParam=reg, standardization=False, probabilityCol=out, predictionCol=f"{out}_label", rawPredictionCol=f"{out}_raw")
+    return LogisticRegression(maxIter=30, featuresCol=features_col, labelCol="label", weightCol="weight", regParam=reg, standardization=False, probabilityCol=out, predictionCol=f"{out}_label", rawPredictionCol=f"{out}_raw")
 
 
 def fit(rows: DataFrame, attack_weight: float = 1.5) -> tuple[PipelineModel, list[tuple]]:
