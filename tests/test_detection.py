@@ -107,3 +107,20 @@ def test_settings_are_checked():
         Noise(epsilon=0)
     with pytest.raises(ValueError):
         Vault(letters=4)
+
+
+def test_numbers_of_documents(spark, tmp_path):
+    """The number queries read every document, long and null ones too, besides the made texts and the orders."""
+    from veilspark import registry
+    from veilspark.sources.vectors import rows
+
+    docs = [(1, "Revenue was 4,500,000 in 2019"), (2, None), (3, "word " * 20_000 + "98765 end 12"), (4, ""), (5, "v1.2.3 5000x 1234.5")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 7, 2500.5)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    found = [tuple(r) for r in registry.eligible_numbers(spark, str(tmp_path)).where("doc_id > 0").collect()]
+    want = [(1, "4,500,000", True), (1, "2019", False), (3, "98765", True), (3, "12", False), (5, "1234.5", True), (1, "1", False), (1, "7", False), (1, "2500.50", True)]
+    assert sorted(found) == sorted(want)
+    noisy = registry.noisy_texts(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in noisy) == sorted([*(i for i, _ in docs), 1, *(i for i, _ in rows())])
+    counts = {(r["doc_id"], (r["text"] or "")[:5] == "order"): r["noised"] for r in noisy if r["doc_id"] > 0}
+    assert {k: n or 0 for k, n in counts.items()} == {(1, False): 1, (2, False): 0, (3, False): 1, (4, False): 0, (5, False): 1, (1, True): 1}

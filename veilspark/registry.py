@@ -217,7 +217,7 @@ def eligible_numbers(spark, sf_dir):
 
 def _numbered(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.format_string("order %d of %d total %.2f", "o_orderkey", "o_custkey", "o_totalprice").alias("text"))
-    return texts(spark, sf_dir).where("doc_id < 0").unionByName(orders)
+    return texts(spark, sf_dir).unionByName(orders)
 
 
 _U = f"((('0x' || substr({O.hmac('encode(o_orderkey::VARCHAR)')}, 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 - 0.5"
