@@ -94,6 +94,33 @@ def test_suffix_dedup(spark):
     assert remove_repeats(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    from veilspark.llm.suffix_dedup import remove_repeats
+
+    rnd = random.Random(6)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    p, q = make(180), make(260)
+    rows = [(1, p), (1, p), (1, make(150) + q[:130]), (2, make(120)), (2, make(140)), (3, q), (3, q), (3, make(20) + q[60:200] + "!")]
+    rows += [(None, t) for t in (make(200), make(220), p + make(110), q[30:190], q[30:190], None, "", "z" * 250, "z" * 250)] + [(9, "y" * 250)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    seen, want = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, digest[r[1]])):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = True
+            seen.add(b[s : s + 100])
+        want[i, t] = (-1 if i is None else i, len(b), int(gone.sum()), np.frombuffer(b, np.uint8)[~gone].tobytes())
+    for parts in (1, 5):
+        got = remove_repeats(docs.repartition(parts), shard=300).collect()
+        out = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got)
+        assert out == sorted(want[r] for r in rows)
+
+
 def test_repeated_windows_against_brute_force():
     from veilspark.llm.suffix_dedup import repeated_windows
 

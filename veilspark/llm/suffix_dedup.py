@@ -27,8 +27,10 @@ from .hashing import mix64, power_table, prefix_sums, span_hashes
 LENGTH = 100
 GRAM = 32
 SHARD = 1 << 16
-ANCHOR = np.dtype([("h", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
+ANCHOR = np.dtype([("h", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("ver", "<i8"), ("pos", "<i4")])
 NO_ID = (1 << 63) - 1
+#: A document is its id and a digest of its text.
+KEY = ["doc_id", "ver"]
 TOP = np.uint64((1 << 64) - 1)
 
 
@@ -47,7 +49,7 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def find_anchors(blobs: list[bytes], docs: list[int], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+def find_anchors(blobs: list[bytes], docs: list[int], vers: list[int], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """The anchors of all documents of at least ``length`` bytes."""
     sizes = np.array([len(b) for b in blobs], np.int64)
     if not len(sizes) or sizes.max() < length:
@@ -71,6 +73,7 @@ def find_anchors(blobs: list[bytes], docs: list[int], length: int = LENGTH, gram
     out["h"] = grams[at]
     out["seg"] = span_hashes(sums, at - left, right) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (right - at).astype(np.uint64)
     out["doc"] = np.asarray(docs, np.int64)[doc]
+    out["ver"] = np.asarray(vers, np.int64)[doc]
     out["pos"] = at - starts[doc]
     return out
 
@@ -79,46 +82,54 @@ def _segment(pos, size, length: int, gram: int):
     return np.maximum(pos - (length - gram), 0), np.minimum(pos + length, size)
 
 
-def _pack(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
-    """(doc_id, spans): the spans of each document as pairs of 32-bit integers."""
+def _new_keys(doc: np.ndarray, ver: np.ndarray) -> np.ndarray:
+    """Where a document begins in rows in order of document."""
+    return np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (ver[1:] != ver[:-1])]))
+
+
+def _pack(doc: np.ndarray, ver: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    """(doc_id, ver, spans): the spans of each document as pairs of 32-bit integers."""
     if not len(doc):
-        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "spans": pd.Series(dtype="object")})
-    order = np.lexsort((begin, doc))
-    doc, pairs = doc[order], np.stack([begin[order], end[order]], 1).astype("<i4")
-    cuts = np.flatnonzero(np.diff(doc, prepend=~doc[:1]))
-    return pd.DataFrame({"doc_id": doc[cuts], "spans": [p.tobytes() for p in np.split(pairs, cuts[1:])]})
+        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "ver": pd.Series(dtype="int64"), "spans": pd.Series(dtype="object")})
+    order = np.lexsort((begin, ver, doc))
+    doc, ver, pairs = doc[order], ver[order], np.stack([begin[order], end[order]], 1).astype("<i4")
+    cuts = _new_keys(doc, ver)
+    return pd.DataFrame({"doc_id": doc[cuts], "ver": ver[cuts], "spans": [p.tobytes() for p in np.split(pairs, cuts[1:])]})
 
 
-def _batches(frames: Iterator[pd.DataFrame], size: int = 1 << 21) -> Iterator[tuple[list[int], list[bytes]]]:
-    ids, blobs, n = [], [], 0
+def _batches(frames: Iterator[pd.DataFrame], size: int = 1 << 21) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    ids, vers, blobs, n = [], [], [], 0
     for frame in frames:
-        for i, t in zip(frame["doc_id"], frame["text"], strict=True):
+        for i, v, t in zip(frame["doc_id"], frame["ver"], frame["text"], strict=True):
             ids.append(int(i))
+            vers.append(int(v))
             blobs.append((t or "").encode("utf-8", "surrogatepass"))
             n += len(blobs[-1])
             if n >= size:
-                yield ids, blobs
-                ids, blobs, n = [], [], 0
+                yield ids, vers, blobs
+                ids, vers, blobs, n = [], [], [], 0
     if ids:
-        yield ids, blobs
+        yield ids, vers, blobs
 
 
 def _first_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors in order of hash, segment and place, and which of them are the first of their class."""
-    rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["seg"], rows["h"]))]
+    """Anchors in order of hash, segment and place, each once, and which of them are the first of their class."""
+    rows = rows[np.lexsort((rows["pos"], rows["ver"], rows["doc"], rows["seg"], rows["h"]))]
     first = np.ones(len(rows), bool)
     first[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["seg"][1:] != rows["seg"][:-1])
-    return rows, first
+    own = first.copy()  # the same place again is a row that repeats its document, not an occurrence
+    own[1:] |= (rows["doc"][1:] != rows["doc"][:-1]) | (rows["ver"][1:] != rows["ver"][:-1]) | (rows["pos"][1:] != rows["pos"][:-1])
+    return rows[own], first[own]
 
 
 #: A span that reaches to the end of its document, whatever that is: clipped when it is applied.
 def _repeat_spans(rows: np.ndarray, length: int, gram: int) -> pd.DataFrame:
     begin, end = _segment(rows["pos"].astype(np.int64), 1 << 31, length, gram)
-    return _pack(rows["doc"], begin, np.minimum(end, (1 << 31) - 1))
+    return _pack(rows["doc"], rows["ver"], begin, np.minimum(end, (1 << 31) - 1))
 
 
 def anchor_rows(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(bucket, data, doc_id, spans): packed first anchors by hash bucket, and repeats within the task."""
+    """(bucket, data, doc_id, ver, spans): packed first anchors by hash bucket, and repeats within the task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -128,16 +139,16 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFr
             held.clear()
             if not first.all():
                 spans = _repeat_spans(rows[~first], length, gram)
-                yield pd.DataFrame({"bucket": (mix64(spans["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), "data": None, **spans})
+                yield pd.DataFrame({"bucket": (mix64((spans["doc_id"] ^ spans["ver"]).to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), "data": None, **spans})
             rows = rows[first]
             bucket = (rows["h"] >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order].astype(np.int32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            yield pd.DataFrame({"bucket": bucket[cuts], "data": [p.tobytes() for p in np.split(rows, cuts[1:])], "doc_id": 0, "spans": None})
+            yield pd.DataFrame({"bucket": bucket[cuts], "data": [p.tobytes() for p in np.split(rows, cuts[1:])], "doc_id": 0, "ver": 0, "spans": None})
 
-        for ids, blobs in _batches(frames):
-            rows = find_anchors(blobs, ids, length, gram)
+        for ids, vers, blobs in _batches(frames):
+            rows = find_anchors(blobs, ids, vers, length, gram)
             if len(rows):
                 held.append(rows)
                 size += len(rows)
@@ -147,17 +158,17 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFr
         if held:
             yield from flush()
 
-    return docs.mapInPandas(run, "bucket int, data binary, doc_id long, spans binary")
+    return docs.mapInPandas(run, "bucket int, data binary, doc_id long, ver long, spans binary")
 
 
 CANDIDATE = np.dtype([("h", "<u8"), ("pos", "<i4")])
 
 
 def classes(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, spans, first): repeats of whole segments, and the first occurrences whose anchor has several classes."""
+    """(doc_id, ver, spans, first): repeats of whole segments, and the first occurrences whose anchor has several classes."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"doc_id": frame["doc_id"], "spans": frame["spans"], "first": None})[frame["spans"].notna()]]
+        out = [pd.DataFrame({"doc_id": frame["doc_id"], "ver": frame["ver"], "spans": frame["spans"], "first": None})[frame["spans"].notna()]]
         packed = [d for d in frame["data"] if d is not None]
         if packed:
             rows, first = _first_of(np.frombuffer(b"".join(packed), ANCHOR))
@@ -167,14 +178,14 @@ def classes(rows: DataFrame, length: int, gram: int) -> DataFrame:
             same = reps["h"][1:] == reps["h"][:-1]
             reps = reps[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(reps) > 1 else reps[:0]
             if len(reps):
-                reps = reps[np.argsort(reps["doc"], kind="stable")]
-                cuts = np.flatnonzero(np.diff(reps["doc"], prepend=~reps["doc"][:1]))
+                reps = reps[np.lexsort((reps["ver"], reps["doc"]))]
+                cuts = _new_keys(reps["doc"], reps["ver"])
                 cand = np.empty(len(reps), CANDIDATE)
                 cand["h"], cand["pos"] = reps["h"], reps["pos"]
-                out.append(pd.DataFrame({"doc_id": reps["doc"][cuts], "spans": None, "first": [p.tobytes() for p in np.split(cand, cuts[1:])]}))
+                out.append(pd.DataFrame({"doc_id": reps["doc"][cuts], "ver": reps["ver"][cuts], "spans": None, "first": [p.tobytes() for p in np.split(cand, cuts[1:])]}))
         return pd.concat(out)
 
-    return rows.groupBy("bucket").applyInPandas(run, "doc_id long, spans binary, first binary")
+    return rows.groupBy("bucket").applyInPandas(run, "doc_id long, ver long, spans binary, first binary")
 
 
 def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,33 +274,39 @@ def repeated_windows(segments: list[bytes], docs: np.ndarray, begins: np.ndarray
 
 
 def merged_spans(docs: DataFrame, firsts: DataFrame, buckets: int, length: int, gram: int, shard: int) -> DataFrame:
-    """(doc_id, spans) of the windows that first occurrences share with earlier ones."""
-    per_doc = firsts.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("first").alias("first"))
-    rows = docs.join(per_doc, F.col("doc_id") == F.col("__d")).select("doc_id", "text", "first")
+    """(doc_id, ver, spans) of the windows that first occurrences share with earlier ones."""
+    per_doc = firsts.groupBy(*KEY).agg(F.collect_list("first").alias("first"))
+    rows = docs.join(per_doc, KEY).select(*KEY, "text", "first")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, text, first in zip(frame["doc_id"], frame["text"], frame["first"], strict=True):
+            for doc, ver, text, first in zip(frame["doc_id"], frame["ver"], frame["text"], frame["first"], strict=True):
                 blob = (text or "").encode("utf-8", "surrogatepass")
                 for c in np.frombuffer(b"".join(first), CANDIDATE):
                     a, b = _segment(int(c["pos"]), len(blob), length, gram)
-                    out.append((int((int(c["h"]) >> 32) % buckets), int(doc), int(a), blob[a:b]))
-            yield pd.DataFrame(out, columns=["bucket", "doc_id", "begin", "segment"])
+                    out.append((int((int(c["h"]) >> 32) % buckets), int(doc), int(ver), int(a), blob[a:b]))
+            yield pd.DataFrame(out, columns=["bucket", "doc_id", "ver", "begin", "segment"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, start = repeated_windows(list(frame["segment"]), frame["doc_id"].to_numpy(), frame["begin"].to_numpy(), length, shard)
+        ids, vers = frame["doc_id"].to_numpy(), frame["ver"].to_numpy()
+        order = np.lexsort((vers, ids))
+        heads = _new_keys(ids[order], vers[order])
+        number = np.empty(len(ids), np.int64)  # documents in order of id and text
+        number[order] = np.repeat(np.arange(len(heads)), np.diff([*heads, len(ids)]))
+        ids, vers = ids[order][heads], vers[order][heads]
+        doc, start = repeated_windows(list(frame["segment"]), number, frame["begin"].to_numpy(), length, shard)
         if not len(doc):
-            return _pack(doc, start, start)
+            return _pack(doc, doc, start, start)
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])  # runs of neighbouring starts
         at = np.flatnonzero(new)
         last = np.concatenate([at[1:], [len(doc)]]) - 1
-        return _pack(doc[at], start[at], start[last] + length)
+        return _pack(ids[doc[at]], vers[doc[at]], start[at], start[last] + length)
 
-    pieces = rows.mapInPandas(cut, "bucket int, doc_id long, begin int, segment binary").dropDuplicates()
-    return pieces.groupBy("bucket").applyInPandas(join, "doc_id long, spans binary")
+    pieces = rows.mapInPandas(cut, "bucket int, doc_id long, ver long, begin int, segment binary").dropDuplicates()
+    return pieces.groupBy("bucket").applyInPandas(join, "doc_id long, ver long, spans binary")
 
 
 def unite(spans: list[bytes], size: int) -> np.ndarray:
@@ -309,19 +326,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Cut out each byte covered by a ``length``-byte string that also starts earlier (smaller id, or earlier start).
 
     One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary). Strings are judged on the input;
-    overlaps count; matches never cross documents. Null text counts as empty. A null id comes last and stays null. Ids
-    tell documents apart: rows that repeat an id and its text are one document that is returned for each row; with
-    different texts under one id, each gets the spans found under that id. An empty table gives an empty result. Other
+    overlaps count; matches never cross documents. Null text counts as empty. A null id comes last and stays null. Rows
+    that repeat an id (or null) and its text are one document that is returned for each row; different texts under one id
+    (or null) are documents of their own, in order of a digest of their text. An empty table gives an empty result. Other
     columns are ignored. ``length`` must be even.
     """
     if length % 2 or gram > length:
         raise ValueError("length must be even and at least gram")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("ver", F.xxhash64("text"))
     buckets = 4 * shuffle_partitions(df.sparkSession)
     found = materialize(classes(anchor_rows(docs, buckets, length, gram), length, gram), "classes")
-    merged = materialize(merged_spans(docs, found.where("first is not null").select("doc_id", "first"), 2 * buckets, length, gram, shard), "merged")
-    spans = found.where("spans is not null").select("doc_id", "spans").unionByName(merged)
-    per_doc = spans.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("spans").alias("spans"))
+    merged = materialize(merged_spans(docs, found.where("first is not null").select(*KEY, "first"), 2 * buckets, length, gram, shard), "merged")
+    spans = found.where("spans is not null").select(*KEY, "spans").unionByName(merged)
+    per_doc = spans.groupBy(*KEY).agg(F.collect_list("spans").alias("spans"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -337,7 +355,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((int(doc), len(blob), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), b"".join(kept)))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = docs.join(per_doc, F.col("doc_id") == F.col("__d"), "left").select("doc_id", "text", "spans")
+    joined = docs.join(per_doc, KEY, "left").select("doc_id", "text", "spans")
     out = joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
