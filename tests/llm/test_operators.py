@@ -271,6 +271,25 @@ def test_html(spark):
     assert "+" in both and "fixed" in both
 
 
+def test_html_names_are_hints(spark):
+    from veilspark.llm.html_wrappers import extract_main_text
+
+    def page(k):
+        inside = f"<h2 id='related-work'>Related {k}</h2><p>a {k}</p><section id='social-history'><h2>History</h2><p>b {k}</p></section><p class='notice'>c {k}</p>"
+        site = "<p class='newsletter'>Join us</p><div class='legal-notice'><p>All</p><p>rights</p></div><p>Shared passage</p>"
+        other = f"<div class='comments'><p>me {k}</p></div><div class='ad-slot'>buy {k}</div>"
+        return f"<body><div class='sidebar'><article><p>teaser {k}</p></article></div><div class='no-sidebar' id='has-widget'><article><h1>T{k}</h1>{inside}{site}{other}</article></div></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(5)]
+    rows += [(10, "http://one.example/", page(10))]
+    rows += [(20 + i, f"http://p.example/{i}", f"<body><div class='no-sidebar'><p>text {i}</p></div><div class='sidebar'><p>side {i}</p></div></body>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == f"T{i}\nRelated {i}\na {i}\nHistory\nb {i}\nc {i}\nShared passage"
+    assert got[10] == "T10\nRelated 10\na 10\nHistory\nb 10\nAll\nrights\nShared passage"
+    assert all(got[20 + i] == f"text {i}" for i in range(4))
+
+
 def test_warc(spark):
     from veilspark.llm.warc import RECORD, canonical_url, crawl_of, make_record, parse_records, record_frame, resolve_revisits
     from pyspark.sql import functions as F

@@ -6,9 +6,13 @@ wrapper so far: what both have is matched, what one lacks becomes optional, and
 its fixed string into a slot. The result is a regular expression without unions: fixed texts, slots, optional and
 repeated groups. Partial wrappers of the same host align in the same way, so inference combines before the shuffle.
 
-Slots and fixed texts get their role from the wrapper: in a menu, header, footer, sidebar, notice, advert, form or comment
-a block is furniture. Where a page marks its article, all else in there is text, as articles may share passages. Where it
-marks none, a text that stays fixed over several different pages of the host is furniture, too.
+Roles. Elements whose tag, role or whole class or id names a menu, header, footer, sidebar, advert, form or comment hold
+furniture. Other names are hints. Inside an article, text under the name of a thing that sites repeat (a notice, a widget)
+is furniture where it is fixed over the host's pages, and content where it varies; so is text under a longer name that
+only has such a word in it (``related-work``, ``no-sidebar``). Names around an article of the longer kind say nothing. Where
+no three pages show it, a whole name counts and a longer one does not. Where a page marks its article, all else in there is
+text, as articles may share passages. Where it marks none, a text that stays fixed over several different pages of the
+host is furniture, too.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -39,46 +43,79 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img"}
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset", "input", "label"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "status"}
-FURNITURE_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
-    "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "masthead", "menu", "modal",
-    "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "pager", "popup", "promo",
-    "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "skip", "social",
-    "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
+#: What differs from page to page by nature: the wrapper cannot tell it from content.
+PAGE_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments",
+    "disqus", "menu", "nav", "navbar", "navigation", "pagination", "pager", "promo", "promotion", "related", "replies",
+    "reply", "respond", "share", "sharing", "skip", "sponsor", "sponsored",
 }
+#: What a site repeats.
+SITE_WORDS = {
+    "banner", "consent", "cookie", "cookies", "copyright", "footer", "gdpr", "masthead", "modal", "newsletter", "notice",
+    "notification", "popup", "sidebar", "signup", "social", "subscribe", "subscription", "toolbar", "widget",
+}
+FURNITURE_WORDS = PAGE_WORDS | SITE_WORDS
+#: Words of place and form, which leave a furniture name whole.
+FORM_WORDS = {"area", "bar", "bottom", "box", "buttons", "left", "links", "list", "posts", "right", "site", "slot", "top", "unit"}
 ARTICLE = {"article", "main"}
 HEADINGS = {"h1", "h2"}
+ALL_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: How far a name says furniture: not at all, a word of it does, or a whole name of what sites repeat.
+PLAIN, PARTLY, SITE = range(3)
 
 
 class Block:
-    """A run of text between block borders: its path, its text and whether all of it is link text."""
+    """A run of text between block borders: its path, its text, whether all of it is link text, and what names hint at."""
 
-    __slots__ = ("key", "furniture", "article", "text", "linked")
+    __slots__ = ("key", "furniture", "article", "text", "linked", "hint")
 
-    def __init__(self, key: str, furniture: bool, article: bool, text: str, linked: bool):
-        self.key, self.furniture, self.article, self.text, self.linked = key, furniture, article, text, linked
+    def __init__(self, key: str, furniture: bool, article: bool, text: str, linked: bool, hint: int = PLAIN):
+        self.key, self.furniture, self.article, self.text, self.linked, self.hint = key, furniture, article, text, linked, hint
 
 
-def _frame(tag: str, rest: str) -> tuple[str, str, bool, bool, bool]:
-    """(tag, path step, furniture, article, header) of an open element."""
+def _frame(tag: str, rest: str) -> tuple[str, str, bool, bool, bool, int]:
+    """(tag, path step, furniture, article, header, hint) of an open element."""
     words: list[str] = []
+    named, hint = False, PLAIN
     role, hidden, body = "", False, False
     if rest and "=" in rest or "hidden" in rest:
         for name, a, b, c in ATTRIBUTE.findall(rest):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words += [w.lower() for w in NAME_PART.findall(html.unescape(value)) if not w.isdigit()]
+                for token in html.unescape(value).split():
+                    parts = [w.lower() for w in NAME_PART.findall(token) if not w.isdigit()]
+                    words += parts
+                    if FURNITURE_WORDS.isdisjoint(parts) or name == "id" and tag in ALL_HEADINGS:  # a heading's id is its text
+                        continue
+                    if not FURNITURE_WORDS.union(FORM_WORDS).issuperset(parts):
+                        hint = max(hint, PARTLY)
+                    elif PAGE_WORDS.isdisjoint(parts):
+                        hint = SITE
+                    else:
+                        named = True
             elif name == "role":
                 role = value.strip().lower()
             elif name == "itemprop" and "articlebody" in value.lower() or role == "main":
                 body = True
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
-    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or hidden or not FURNITURE_WORDS.isdisjoint(words)
+    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or hidden or named
     article = tag in ARTICLE or role in ("main", "article") or body
     if tag in ("body", "html") or article and tag in ARTICLE:
-        furniture = hidden
-    return tag, f"{tag}.{'.'.join(words)}" if words else tag, furniture, article, tag == "header" or "header" in words and tag != "body"
+        furniture, hint = hidden, PLAIN
+    return tag, f"{tag}.{'.'.join(words)}" if words else tag, furniture, article, tag == "header" or "header" in words and tag != "body", hint
+
+
+def _hint(path: list[tuple], tags: set[str]) -> tuple[bool, int]:
+    """(furniture, hint) of what the names along a path say."""
+    start = next((k for k, s in enumerate(path) if s[3]), None)
+    around, within = (path, []) if start is None else (path[:start], path[start:])
+    if any(s[5] == SITE for s in around):
+        return True, PLAIN
+    hint = max((s[5] for s in (path if start is None else within)), default=PLAIN)
+    if hint == PARTLY and start is not None and not tags.isdisjoint(ALL_HEADINGS):
+        hint = PLAIN
+    return False, hint
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -97,7 +134,8 @@ def blocks_of(page: str) -> list[Block]:
                 inside = any(s[3] for s in path)
                 tags = {s[0] for s in path}
                 bad = any(s[2] for s in path) or any(s[4] for s in path) and not (inside and tags & HEADINGS)
-                out.append(Block("/".join(s[1] for s in path if s[0] not in ("html", "body")), bad, inside, text, linked[0]))
+                named, hint = _hint(path, tags)
+                out.append(Block("/".join(s[1] for s in path if s[0] not in ("html", "body")), bad or named, inside, text, linked[0], hint))
             parts.clear()
         linked[0] = True
 
@@ -150,7 +188,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             depth_a += tag == "a"
-            stack.append((tag, tag, False, False, False))
+            stack.append((tag, tag, False, False, False, PLAIN))
             continue
         flush()
         frame = _frame(tag, m.group(3))
@@ -227,11 +265,24 @@ def expression(wrapper: list[list]) -> str:
     return " ".join(f"({'#TEXT' if x[3] is None else 'fixed'}@{x[0]})" + ("+" if x[2] else "") + ("?" if x[1] else "") for x in wrapper)
 
 
-def main_text(blocks: list[Block], wrapper: list[list]) -> str:
+def hint_marks(blocks: list[Block]) -> set[str]:
+    """Marks of the paths and texts that only the host's other pages can judge."""
+    held = [b for b in blocks if b.hint and not b.furniture]
+    return {_mark(b.key) for b in held} | {_mark(b.key + "\n" + b.text) for b in held}
+
+
+def is_furniture(b: Block, common: Set[str]) -> bool:
+    """Whether names and the marks that ``FIXED_PAGES`` pages of the host share make a block furniture."""
+    if b.furniture or b.hint == PLAIN:
+        return b.furniture
+    return _mark(b.key + "\n" + b.text) in common or b.hint == SITE and _mark(b.key) not in common
+
+
+def main_text(blocks: list[Block], wrapper: list[list], common: Set[str] = frozenset()) -> str:
     """The blocks that the wrapper places in the main content, one per line."""
     fixed = {(x[0], x[3]) for x in wrapper if x[3] is not None and x[4] >= FIXED_PAGES}
     varied = any(x[3] is None for x in wrapper)
-    clean = [b for b in blocks if not b.furniture]
+    clean = [b for b in blocks if not is_furniture(b, common)]
     article = [b for b in clean if b.article]
     body = article or [b for b in clean if not b.linked]
     if varied and fixed:
@@ -277,6 +328,23 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return rows.mapInPandas(partial, "host string, wrapper string").groupBy("host").applyInPandas(merge, "host string, wrapper string")
 
 
+def common_marks(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, common): the marks of hinted blocks that at least ``FIXED_PAGES`` different pages of a host share."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for host, page in zip(frame["host"], frame["html"], strict=True):
+                if marks := hint_marks(blocks_of(page)):
+                    out += [(host, m, _mark(page)) for m in sorted(marks)]
+            yield pd.DataFrame(out, columns=["host", "mark", "page"])
+
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    seen = rows.mapInPandas(run, "host string, mark string, page string")
+    often = seen.groupBy("host", "mark").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= FIXED_PAGES)
+    return often.groupBy("host").agg(F.collect_list("mark").alias("common"))
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = SALTS) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
@@ -284,16 +352,18 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     their own. A host's pages are dealt to ``salts`` keys to meet their wrapper. An empty table gives an empty result.
     Other columns are ignored.
     """
-    wrappers = infer_wrappers(pages, url_col, html_col)
+    wrappers = infer_wrappers(pages, url_col, html_col).join(common_marks(pages, url_col, html_col), "host", "left")
     wrappers = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = rows.join(wrappers, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper")
+    joined = rows.join(wrappers, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper", "common")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             known = {w: json.loads(w) for w in set(frame["wrapper"].dropna())}
-            texts = [main_text(blocks_of(page), known.get(w, [])) for page, w in zip(frame["html"], frame["wrapper"], strict=True)]
+            texts = []
+            for page, w, c in zip(frame["html"], frame["wrapper"], frame["common"], strict=True):
+                texts.append(main_text(blocks_of(page), known.get(w, []), frozenset() if c is None else frozenset(c)))
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
 
     kind = dict(pages.dtypes)[id_col]
