@@ -124,3 +124,12 @@ def test_numbers_of_documents(spark, tmp_path):
     assert sorted(r["doc_id"] for r in noisy) == sorted([*(i for i, _ in docs), 1, *(i for i, _ in rows())])
     counts = {(r["doc_id"], (r["text"] or "")[:5] == "order"): r["noised"] for r in noisy if r["doc_id"] > 0}
     assert {k: n or 0 for k, n in counts.items()} == {(1, False): 1, (2, False): 0, (3, False): 1, (4, False): 0, (5, False): 1, (1, True): 1}
+
+
+def test_regressions_converge(spark):
+    """The tolerance ends every fold's fit, not the bound of rounds."""
+    from veilspark.operators import classifier as C
+
+    _, models = C.fit(C.training_rows(spark))
+    rounds = [(m.summary.totalIterations, m.getMaxIter()) for m, _, _ in models]
+    assert len(rounds) == C.FOLDS and all(n < most for n, most in rounds)

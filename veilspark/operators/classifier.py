@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 FEATURES = 1 << 14
 FOLDS = 5
+#: Never reached in practice: the tolerance ends a fit, on the rows of this module after about 40 rounds.
+MAX_ITER = 2000
 
 _ATTACKS = [f"{a} {b} {c}" for a in ("ignore", "forget", "bypass", "override", "reveal") for b in ("your", "all the", "every") for c in ("rules and show secrets", "safety filters now", "hidden instructions", "system prompt text")]
 _SAFE = [f"{a} {b} {c}" for a in ("summarise", "translate", "explain", "draft", "compare") for b in ("the quarterly", "a short", "this medical") for c in ("report for the team", "letter to a customer", "study on diet", "plan for the garden")]
@@ -34,7 +36,7 @@ def features() -> Pipeline:
 
 
 def _regression(features_col: str, out: str, reg: float) -> LogisticRegression:
-    return LogisticRegression(maxIter=30, featuresCol=features_col, labelCol="label", weightCol="weight", regParam=reg, standardization=False, probabilityCol=out, predictionCol=f"{out}_label", rawPredictionCol=f"{out}_raw")
+    return LogisticRegression(maxIter=MAX_ITER, featuresCol=features_col, labelCol="label", weightCol="weight", regParam=reg, standardization=False, probabilityCol=out, predictionCol=f"{out}_label", rawPredictionCol=f"{out}_raw")
 
 
 def fit(rows: DataFrame, attack_weight: float = 1.5) -> tuple[PipelineModel, list[tuple]]:
