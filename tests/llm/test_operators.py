@@ -138,11 +138,16 @@ def test_repeated_windows_against_brute_force():
         assert set(zip(d.tolist(), s.tolist())) == {k for w, k in windows if first[w] != k}
 
 
-@pytest.mark.parametrize("leaders", [2, 48])
-def test_ngram_join(spark, monkeypatch, leaders):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_ngram_join(spark, monkeypatch, rounds):
     import veilspark.llm.ngram_join as J
 
-    monkeypatch.setattr(J, "LEADERS", leaders)
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    if rounds == 1:  # many tiles, small stars, shuffled lookup
+        monkeypatch.setattr(J, "TILE_ROWS", 2)
+        monkeypatch.setattr(J, "TILE_COLUMNS", 3)
+        monkeypatch.setattr(J, "STAR", 2)
+        monkeypatch.setattr(J, "LOOKUP_ROWS", 0)
     texts = corpus(2, 90)
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
@@ -163,7 +168,7 @@ def test_ngram_join(spark, monkeypatch, leaders):
                 parent[max(a, b)] = min(a, b)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.ngram_components(table(spark, texts)).collect()}
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
-    if leaders == 2:
+    if rounds == 3:
         assert J.ngram_components(table(spark, [])).count() == 0
 
 

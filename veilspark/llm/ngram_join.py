@@ -1,26 +1,29 @@
 """Jaccard join on word shingles as a blocked sparse product of the document-by-shingle incidence matrix.
 
 Documents with the same shingle set are one class, so copies are never expanded. Shingles are ordered by how frequent
-they are, then by hash; of a set of n only the first ``n - ceil(0.8 n) + 1`` can matter for finding a partner, because
-two sets that link share at least one of them. The incidence restricted to these prefixes is cut into blocks by shingle.
-Every block multiplies its rows by themselves and accumulates overlap counts of class pairs of suitable size; a pair
-whose count over all blocks is below ``need - max(n_a - p_a, n_b - p_b)`` (p: prefix lengths) cannot reach the overlap
-``need`` and is discarded. The others are compared in full.
-
-A block with a large family of near copies is not multiplied out. A few leaders are compared with all others first; what
-they link becomes one component, and only classes outside the block's largest component go on to be compared, in the
-last round with everything outside their own component. Only that round's counts, together with those of the small
-blocks, are whole for pairs that share a large block, so what an earlier round discards there is judged again. No link
-between different components is lost, and pairs within a component are not needed.
+they are, then by hash; of a set of n only the first ``n - ceil(0.8 n) + 1`` can matter for finding a partner. The
+incidence restricted to these prefixes falls into blocks by shingle; blocks of one class go no further.
+
+1. Representatives. In every block that holds several components, the others meet a representative of one component; each
+   class proposes the representative that it shares most blocks with. Proposals are compared in full, what links becomes
+   one component, and blocks within one component are done. A family of near copies thus costs a pair a member, not a
+   pair of members.
+2. Product. Blocks that still hold several components are multiplied out between components, in tiles of bounded size.
+   For sets of a and b shingles with least overlap ``need``, the first ``a - need + 1 + l`` and ``b - need + 1 + l``
+   shingles of two sets that link share at least ``l + 1``. A tile passes on a pair only where the shingle lies within
+   both of these; overlap counts accumulate over all tiles, and pairs below ``l + 1`` are discarded.
+3. The pairs left are compared in full. A set is sent once to each star that its class takes part in.
+
+No link between different components is lost, and pairs within a component are not needed.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +35,17 @@ WIDTH = 5
 #: Links need ``100 * intersection >= 80 * union``.
 PERCENT = 80
 #: Slots of the frequency table, a fixed size at any scale; it only orders shingles and never decides a link.
-SLOT_BITS = 20
+SLOT_BITS = 24
 PARTS = 64
-#: Classes of a block that lead a round; smaller blocks are multiplied out at once.
-LEADERS = 48
-ROUNDS = 2
-#: Share of a block that one component must hold for another round of leaders to be worth it before the last round.
-FAMILY = 0.25
+#: Rounds of representatives before the product; more of them save pairs, none changes a result.
+ROUNDS = 3
+#: A tile of the product has at most about so many rows outside its block's largest component, and so many rows at all.
+TILE_ROWS = 256
+TILE_COLUMNS = 4096
+#: Members of a star that meet their representative in one task.
+STAR = 64
+#: Rows (class, star, id) up to which texts are looked up by broadcast; beyond, by a shuffled join.
+LOOKUP_ROWS = 200_000
 
 
 def need_of(a, b):
@@ -50,6 +57,11 @@ def prefix_of(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def slack_of(a, b, need):
+    """``l``: half of what the stored prefixes allow beyond the least ones, between few pairs and sharp counts."""
+    return np.maximum((need - (PERCENT * np.maximum(a, b) + 99) // 100) // 2, 0)
+
+
 def _sets(texts: list) -> Iterator[np.ndarray]:
     texts = [t or "" for t in texts]
     offsets, hashes = word_hashes(texts)
@@ -63,275 +75,306 @@ def _set_id(shingles: np.ndarray) -> int:
     return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def _texts(frames: Iterator[pd.DataFrame], size: int = 1 << 21) -> Iterator[tuple[list, list]]:
-    """Documents in lists of about ``size`` characters, so that buffers stay small whatever the lengths are."""
-    ids, texts, n = [], [], 0
-    for frame in frames:
-        for i, t in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-            ids.append(i)
-            texts.append(t)
-            n += len(t or "")
+def _rows(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[list[tuple]]:
+    """Rows in lists of about ``size`` characters of their last column, so that buffers stay small whatever the lengths
+    are. Values stay as Arrow has them: a null beside a long turns nothing into a float."""
+    held, n = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            n += len(row[-1] or "")
             if n >= size:
-                yield ids, texts
-                ids, texts, n = [], [], 0
-    if ids:
-        yield ids, texts
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """Pass 1: a row (doc_id, n, cid) per document, and per task the counts of all shingles by slot."""
+    """Pass 1: a row (doc_id, n, cid) per document, and per task the counts of its classes' shingles by slot."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.int32)
-        for ids, texts in _texts(frames):
-            rows = []
-            for i, s in zip(ids, _sets(texts), strict=True):
-                rows.append((i, len(s), _set_id(s) if len(s) else None))
-                np.add.at(counts, _slots(s), 1)
-            yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "n": pd.array([r[1] for r in rows], "Int64"), "cid": pd.array([r[2] for r in rows], "Int64"), "part": pd.array([None] * len(rows), "Int32"), "counts": None})
-        if counts.any():
-            blocks = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, PARTS)]
-            yield pd.DataFrame({"doc_id": pd.array([None] * PARTS, "Int64"), "n": pd.array([None] * PARTS, "Int64"), "cid": pd.array([None] * PARTS, "Int64"), "part": pd.array(range(PARTS), "Int32"), "counts": blocks})
-
-    return docs.mapInPandas(run, "doc_id long, n long, cid long, part int, counts binary")
+        seen: set[int] = set()
+        for rows in _rows(batches):
+            ids, sizes, cids = [], [], []
+            for (i, _), s in zip(rows, _sets([t for _, t in rows]), strict=True):
+                cid = _set_id(s) if len(s) else None
+                ids.append(i)
+                sizes.append(len(s))
+                cids.append(cid)
+                if len(s) and cid not in seen:
+                    seen.add(cid)
+                    np.add.at(counts, _slots(s), 1)
+            none = [None] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, sizes, cids, none, none), DESCRIBED, strict=True)], schema=DESCRIBED)
+        if seen:
+            parts = [pa.compress(c.tobytes(), "zstd", asbytes=True) for c in np.split(np.minimum(counts, 255).astype(np.uint8), PARTS)]
+            none = [None] * PARTS
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, range(PARTS), parts), DESCRIBED, strict=True)], schema=DESCRIBED)
+
+    return docs.mapInArrow(run, "doc_id long, n long, cid long, part int, counts binary")
 
 
 def levels(described: DataFrame) -> np.ndarray:
-    """For each slot, by how many powers of two its count over all documents exceeds eight times the mean."""
+    """For each slot, four times the binary logarithm of its count over all documents (of each task at most 255)."""
+    size = (1 << SLOT_BITS) // PARTS
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SLOT_BITS) // PARTS, np.int64)
-        for c in frame["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.int32)
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "counts": [total.tobytes()]})
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for part, c in zip(frame["part"], frame["counts"], strict=True):
+                total = totals.setdefault(int(part), np.zeros(size, np.int64))
+                total += np.frombuffer(pa.decompress(c, size, "zstd", asbytes=True), np.uint8)
+        for part, total in totals.items():
+            level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
+            yield pd.DataFrame({"part": [part], "level": [pa.compress(level.tobytes(), "zstd", asbytes=True)]})
 
-    rows = described.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()  # PARTS rows of a fixed size
-    counts = np.zeros((PARTS, (1 << SLOT_BITS) // PARTS), np.int64)
-    for r in rows:
-        counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.ravel()
-    return np.floor(np.log2(np.maximum(counts / max(8 * counts.mean(), 8.0), 1))).astype(np.uint8)
+    parts = described.where("part is not null").select("part", "counts").repartition(PARTS, "part")
+    table = np.zeros((PARTS, size), np.uint8)
+    for r in parts.mapInPandas(add, "part int, level binary").collect():  # PARTS rows of a fixed size
+        table[r["part"]] = np.frombuffer(pa.decompress(r["level"], size, "zstd", asbytes=True), np.uint8)
+    return table.ravel()
 
 
-POSTING = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<i4")])
+#: The lower half of a mixed shingle hash; the upper half gives the bucket. Hashes that agree in both can add to a count,
+#: never take from it.
+POSTING = np.dtype([("token", "<u4"), ("n", "<i4"), ("pos", "<i4"), ("cid", "<i8")])
 
 
 def postings(docs: DataFrame, level, buckets: int) -> DataFrame:
     """Pass 2: (bucket, data) rows of packed prefix postings; a class is sent once per task."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, seen, held, size = level.value, set(), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, held, tokens, size = level.value, set(), [], [], 0
 
-        def flush() -> pd.DataFrame:
-            rows = np.concatenate(held)
+        def flush() -> pa.RecordBatch:
+            rows, token = np.concatenate(held), mix64(np.concatenate(tokens))
             held.clear()
-            bucket = (mix64(rows["token"]) % np.uint64(buckets)).astype(np.int32)
+            tokens.clear()
+            rows["token"] = token.astype(np.uint32)
+            bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            return pd.DataFrame({"bucket": bucket[cuts], "data": [p.tobytes() for p in np.split(rows, cuts[1:])]})
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([p.tobytes() for p in np.split(rows, cuts[1:])], pa.binary())], names=["bucket", "data"])
 
-        for _, texts in _texts(frames):
-            for s in _sets(texts):
+        for rows in _rows(batches):
+            for s in _sets([t for (t,) in rows]):
                 n = len(s)
                 if not n or (cid := _set_id(s)) in seen:
                     continue
                 seen.add(cid)
-                rows = np.empty(prefix_of(n), POSTING)
-                rows["token"] = s[np.argsort(table[_slots(s)], kind="stable")[: len(rows)]]
-                rows["cid"], rows["n"] = cid, n
-                held.append(rows)
-                size += len(rows)
-            if size > 500_000:
+                own = np.empty(prefix_of(n), POSTING)
+                tokens.append(s[np.argsort(table[_slots(s)], kind="stable")[: len(own)]])
+                own["cid"], own["n"], own["pos"] = cid, n, np.arange(len(own))
+                held.append(own)
+                size += len(own)
+            if size > 300_000:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    return docs.mapInPandas(run, "bucket int, data binary")
-
-
-def _groups(rows: np.ndarray) -> Iterator[np.ndarray]:
-    cuts = np.flatnonzero(np.diff(rows["token"], prepend=~rows["token"][:1])) if len(rows) else np.empty(0, np.int64)
-    for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
-        yield rows[a:b]
+    return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
 def shared(packed: DataFrame) -> DataFrame:
-    """The postings of shingles that at least two classes have, a row per bucket."""
+    """(token, cid, n, pos): the postings of shingles that at least two classes have."""
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
         rows = np.unique(np.frombuffer(b"".join(frame["data"]), POSTING))
-        token = rows["token"]
-        same = token[1:] == token[:-1]
-        rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(rows) > 1 else rows[:0]
-        return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "data": [rows.tobytes()]})
+        rows = rows[np.lexsort((rows["cid"], rows["token"]))]
+        new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
+        block = np.cumsum(new) - 1
+        several = np.zeros(block[-1] + 1, bool)
+        several[block[1:][(rows["cid"][1:] != rows["cid"][:-1]) & ~new[1:]]] = True
+        rows = rows[several[block]]
+        token = (np.int64(frame["bucket"].iloc[0]) << np.int64(32)) | rows["token"].astype(np.int64)
+        return pd.DataFrame({"token": token, "cid": rows["cid"], "n": rows["n"], "pos": rows["pos"]})
 
-    return packed.groupBy("bucket").applyInPandas(keep, "bucket int, data binary").where("length(data) > 0")
+    return packed.groupBy("bucket").applyInPandas(keep, "token long, cid long, n int, pos int")
 
 
-PAIRS = "a long, b long, na long, nb long, c long"
+def _rank(col: str | F.Column, salt: int) -> F.Column:
+    return F.xxhash64(col, F.lit(salt))
 
 
-class _Accumulator:
-    """Overlap counts of pairs, combined whenever many have come in."""
+def unresolved(places: DataFrame, found: DataFrame | None, salt: int, largest: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, blocks) of the blocks with several components.
 
-    def __init__(self, limit: int = 1 << 20):
-        self.left, self.right, self.size, self.limit = [], [], 0, limit
-
-    def add(self, x: np.ndarray, y: np.ndarray) -> None:
-        ok = (5 * np.minimum(x["n"], y["n"]) >= 4 * np.maximum(x["n"], y["n"])) & (x["cid"] != y["cid"])
-        x, y = x[ok], y[ok]
-        swap = x["cid"] > y["cid"]
-        self.left.append(np.where(swap, y, x))
-        self.right.append(np.where(swap, x, y))
-        self.size += len(x)
-
-    def full(self) -> bool:
-        return self.size > self.limit
-
-    def take(self) -> pd.DataFrame:
-        left, right = np.concatenate(self.left), np.concatenate(self.right)
-        self.left, self.right, self.size = [], [], 0
-        if not len(left):
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in PAIRS.split(", ")})
-        key = np.empty(len(left), [("a", "<i8"), ("b", "<i8")])
-        key["a"], key["b"] = left["cid"], right["cid"]
-        order = np.lexsort((key["b"], key["a"]))
-        key = key[order]
-        new = np.concatenate([[True], (key["a"][1:] != key["a"][:-1]) | (key["b"][1:] != key["b"][:-1])])
-        first = np.flatnonzero(new)
-        count = np.diff(np.concatenate([first, [len(key)]]))
-        return pd.DataFrame({"a": key["a"][first], "b": key["b"][first], "na": left["n"][order][first].astype(np.int64), "nb": right["n"][order][first].astype(np.int64), "c": count})
-
-
-def _rank(cid: np.ndarray, salt: int) -> np.ndarray:
-    return mix64(cid.view(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & ((1 << 64) - 1)))
-
-
-def first_products(blocks: DataFrame) -> DataFrame:
-    """Round 1. Small groups are multiplied out (``small``), of large ones only the rows of the leaders."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        small, large = _Accumulator(), _Accumulator()
-        for frame in frames:
-            for data in frame["data"]:
-                for g in _groups(np.frombuffer(data, POSTING)):
-                    if len(g) <= LEADERS:
-                        i, j = np.triu_indices(len(g), 1)
-                        small.add(g[i], g[j])
-                    else:
-                        g = g[np.argsort(_rank(np.ascontiguousarray(g["cid"]), 0))]
-                        for k in range(LEADERS):
-                            large.add(np.broadcast_to(g[k : k + 1], len(g) - k - 1), g[k + 1 :])
-                    for pairs in (small, large):
-                        if pairs.full():
-                            yield pairs.take().assign(small=pairs is small)
-        for pairs in (small, large):
-            if pairs.size:
-                yield pairs.take().assign(small=pairs is small)
-
-    return blocks.mapInPandas(run, PAIRS + ", small boolean")
-
-
-def large_groups(blocks: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for data in frame["data"]:
-                big = [g for g in _groups(np.frombuffer(data, POSTING)) if len(g) > LEADERS]
-                if big:
-                    rows = np.concatenate(big)
-                    yield pd.DataFrame({"token": rows["token"].astype(np.int64), "cid": rows["cid"], "n": rows["n"].astype(np.int64)})
-
-    return blocks.mapInPandas(run, "token long, cid long, n long")
-
-
-def later_products(groups: DataFrame, salt: int, last: bool) -> DataFrame:
-    """Rows of large groups with their components: those outside the largest component meet leaders, at last all others."""
-
-    def expand(frame: pd.DataFrame) -> pd.DataFrame:
-        g = np.empty(len(frame), POSTING)
-        g["cid"], g["n"], g["token"] = frame["cid"], frame["n"], 0
-        comp = frame["component"].to_numpy()
-        names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in PAIRS.split(", ")})
-        main = int(size.argmax())
-        if not last and size[main] < FAMILY * len(g):
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in PAIRS.split(", ")})
-        outside = np.flatnonzero(where != main)
-        inside = np.flatnonzero(where == main)
-        order = lambda x: x[np.argsort(_rank(np.ascontiguousarray(g["cid"][x]), salt))]
-        partners = np.concatenate([outside, inside]) if last else np.concatenate([order(outside)[:LEADERS], order(inside)[:LEADERS]])
-        done = np.zeros(len(g), bool)
-        pairs, made = _Accumulator(), []
-        for k in partners:
-            if where[k] == main:
-                meet = outside
-            else:  # each pair outside the main component once
-                done[k] = True
-                meet = outside[~done[outside] & (where[outside] != where[k])]
-            pairs.add(np.broadcast_to(g[k : k + 1], len(meet)), g[meet])
-            if pairs.full():
-                made.append(pairs.take())
-        if pairs.left:
-            made.append(pairs.take())
-        return pd.concat(made) if made else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in PAIRS.split(", ")})
-
-    return groups.groupBy("token").applyInPandas(expand, PAIRS)
-
-
-def survivors(pairs: DataFrame) -> DataFrame:
-    """Pairs whose accumulated count reaches the bound that their sizes give."""
-    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    need = F.expr(f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}")
-    rest = F.greatest(*[F.expr(f"({PERCENT} * {n} + 99) div 100 - 1") for n in ("na", "nb")])
-    return pairs.where(F.col("c") >= need - rest).select("a", "b")
-
-
-def pack48(shingles: np.ndarray) -> bytes:
-    """A set as the upper six bytes of its hashes: two of a pair's shingles that agree there can add to their overlap only
-    with a chance of ``n * n / 2**48``, and can never take from it. Hashes of one set that agree keep their number."""
-    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def unpack48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, shingles): the whole sets of the wanted classes (doc_id, cid), from their documents' texts."""
-    rows = docs.join(wanted.withColumnRenamed("doc_id", "__w"), F.col("doc_id").eqNullSafe(F.col("__w"))).select("cid", "text")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in _texts(frames):
-            found = [(int(c), s) for c, s in zip(ids, _sets(texts), strict=True) if len(s) and _set_id(s) == int(c)]
-            yield pd.DataFrame({"cid": [c for c, _ in found], "shingles": [pack48(s) for _, s in found]})
-
-    return rows.mapInPandas(run, "cid long, shingles binary")
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by comparing whole sets."""
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ok = []
-            for x, y in zip(frame["sa"], frame["sb"], strict=True):
-                both = np.intersect1d(unpack48(x), unpack48(y), assume_unique=True).size
-                x, y = len(x) // 6, len(y) // 6
-                ok.append(100 * both >= PERCENT * (x + y - both))
-            yield frame.loc[ok, ["a", "b"]]
+    ``rows`` has each posting's component; ``blocks`` has per token its rows, the rows outside its main component, and
+    representatives of that: members of least rank. The main component is the largest one, or the one of greatest rank.
+    """
+    if found is None:
+        rows = places.withColumn("component", F.col("cid"))
+    else:
+        rows = places.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    heads = [F.min(F.struct(_rank("cid", salt + k).alias("r"), "cid", "n")).alias(f"h{k}") for k in range(3 if largest else 1)]
+    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), *heads)
+    weight = F.struct(F.col("k") if largest else F.lit(0).alias("k"), _rank("component", salt).alias("r"), "component", F.col("k").alias("size"), F.array(*[f"h{k}" for k in range(len(heads))]).alias("heads"))
+    blocks = parts.groupBy("token").agg(F.count(F.lit(1)).alias("several"), F.sum("k").alias("rows"), F.max(weight).alias("main")).where("several > 1")
+    return rows, blocks.select("token", "rows", (F.col("rows") - F.col("main.size")).alias("outside"), F.col("main.component").alias("main"), "main.heads")
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+
+def proposals(rows: DataFrame, blocks: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """(a, b): for each class outside the main components of its blocks, the representative it shares most blocks with."""
+    met = rows.join(blocks.select("token", "main", "heads"), "token").where("component != main").select("cid", "n", F.explode("heads").alias("h"))
+    met = met.where((F.lit(PERCENT) * F.greatest("n", "h.n") <= F.lit(100) * F.least("n", "h.n")) & (F.col("cid") != F.col("h.cid")))
+    counted = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    if tested is not None:
+        counted = _untested(counted, tested)
+    return counted.groupBy("a").agg(F.max(F.struct("c", _rank("b", 0).alias("r"), "b")).alias("best")).select("a", "best.b")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    known = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return pairs.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+
+
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("c", "<i4")])
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """Equal pairs become one, with the sum of their counts."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    first = np.flatnonzero(np.concatenate([[True], (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])]))
+    out = pairs[first]
+    out["c"] = np.add.reduceat(pairs["c"], first)
+    return out
+
+
+class _Product:
+    """Overlap counts of pairs from the tiles of a task, combined whenever many have come in."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.held, self.size, self.limit = [], 0, limit
+
+    def add(self, g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs of rows i and j that differ in component and pass the bounds of sizes and positions."""
+        ok = (g["component"][i] != g["component"][j]) & (PERCENT * np.maximum(g["n"][i], g["n"][j]) <= 100 * np.minimum(g["n"][i], g["n"][j]))
+        i, j = i[ok], j[ok]
+        a, b = g["n"][i], g["n"][j]
+        need = need_of(a, b)
+        slack = slack_of(a, b, need)
+        ok = (g["pos"][i] <= a - need + slack) & (g["pos"][j] <= b - need + slack)
+        i, j = i[ok], j[ok]
+        swap = g["cid"][i] > g["cid"][j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        pairs = np.empty(len(i), PAIR)
+        pairs["a"], pairs["b"], pairs["na"], pairs["nb"], pairs["c"] = g["cid"][i], g["cid"][j], g["n"][i], g["n"][j], 1
+        self.held.append(pairs)
+        self.size += len(pairs)
+        if self.size > self.limit:
+            self.held = [_summed(np.concatenate(self.held))]
+            self.size = len(self.held[0])
+            self.limit = max(self.limit, 2 * self.size)
+
+    def take(self) -> np.ndarray:
+        return _summed(np.concatenate(self.held)) if self.held else np.empty(0, PAIR)
+
+
+def products(rows: DataFrame, blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, data): packed overlap counts of pairs between components, from tiles of the unresolved blocks."""
+    down = F.ceil(F.col("outside") / F.lit(TILE_ROWS)).cast("int")
+    across = F.ceil(F.col("rows") / F.lit(TILE_COLUMNS)).cast("int")
+    placed = rows.join(blocks.select("token", "main", down.alias("down"), across.alias("across")), "token").withColumn("out", F.col("component") != F.col("main"))
+    row, column = F.pmod(_rank("cid", 1), "down").cast("int"), F.pmod(_rank("cid", 2), "across").cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_column = F.transform(every("down"), lambda r: F.struct(r.alias("i"), column.alias("j"), F.lit(False).alias("lead")))
+    as_row = F.transform(every("across"), lambda c: F.struct(row.alias("i"), c.alias("j"), F.lit(True).alias("lead")))
+    one = (F.col("down") == 1) & (F.col("across") == 1)  # a block of one tile: its rows meet one another
+    tiles = F.when(one | ~F.col("out"), as_column).otherwise(F.concat(as_column, as_row))
+    placed = placed.withColumn("t", F.explode(tiles)).select("token", "cid", "n", "pos", "component", "out", "t.i", "t.j", "t.lead", one.alias("one"))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets)).cast("int"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["token", "i", "j"], kind="stable")
+        g = {c: frame[c].to_numpy() for c in ("token", "i", "j", "cid", "n", "pos", "component", "out", "lead", "one")}
+        start = np.flatnonzero(np.concatenate([[True], (g["token"][1:] != g["token"][:-1]) | (g["i"][1:] != g["i"][:-1]) | (g["j"][1:] != g["j"][:-1])]))
+        size = np.diff(np.append(start, len(frame)))
+        pairs = _Product()
+        plain = g["one"][start]
+        for k in np.unique(size[plain]):  # blocks of one tile, all of one size at once
+            i, j = np.triu_indices(k, 1)
+            at = start[plain & (size == k)]
+            for part in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
+                pairs.add(g, (part[:, None] + i).ravel(), (part[:, None] + j).ravel())
+        for s, k in zip(start[~plain], size[~plain], strict=True):
+            here = np.arange(s, s + k)
+            lead, others = here[g["lead"][s : s + k]], here[~g["lead"][s : s + k]]
+            for x in lead:  # two rows outside the main component meet once
+                pairs.add(g, np.full(len(others), x), others) if not g["out"][others].any() else pairs.add(g, *_once(g, x, others))
+        made = pairs.take()
+        to = (mix64(made["a"].view(np.uint64) if made["a"].flags.c_contiguous else np.ascontiguousarray(made["a"]).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        made, to = made[order], to[order]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        return pd.DataFrame({"bucket": to[cuts], "data": [p.tobytes() for p in np.split(made, cuts[1:])] if len(cuts) else []})
+
+    return placed.groupBy("bucket").applyInPandas(run, "bucket int, data binary")
+
+
+def _once(g: dict[str, np.ndarray], x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    others = others[~g["out"][others] | (g["cid"][others] > g["cid"][x])]
+    return np.full(len(others), x), others
+
+
+def survivors(packed: DataFrame) -> DataFrame:
+    """(a, b): pairs whose count over all tiles reaches the bound that their sizes give."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = _summed(np.frombuffer(b"".join(frame["data"]), PAIR))
+        need = need_of(pairs["na"], pairs["nb"])
+        pairs = pairs[pairs["c"] > slack_of(pairs["na"], pairs["nb"], need)]
+        return pd.DataFrame({"a": pairs["a"], "b": pairs["b"]})
+
+    return packed.groupBy("bucket").applyInPandas(run, "a long, b long")
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by comparing whole sets.
+
+    The pairs of one ``b`` are a star: its members meet it in groups of about ``STAR``, to which texts are sent, a text
+    once per group. The looked-up rows are counted first: few are broadcast to the documents, many are joined by shuffle.
+    """
+    stars = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
+    members = pairs.join(stars, "b").select(F.col("b").alias("hub"), F.pmod(_rank("a", 3), F.ceil(F.col("k") / F.lit(STAR))).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("cid"))
+    heads = members.select("hub", "salt").distinct().select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("cid"))
+    wanted = materialize(members.unionByName(heads).join(classes.select("cid", F.col("doc_id").alias("__w")), "cid"), "wanted")
+    lookup = F.broadcast(wanted) if wanted.count() <= LOOKUP_ROWS else wanted
+    rows = docs.join(lookup, F.col("doc_id").eqNullSafe(F.col("__w"))).select("hub", "salt", "role", "cid", "text")
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, head = None, None
+        for rows in _rows(batches):
+            a, b = [], []
+            for (hub, salt, role, cid, _), s in zip(rows, _sets([r[-1] for r in rows]), strict=True):
+                if not len(s) or _set_id(s) != cid:
+                    continue  # another text under the same id
+                if role == 0:
+                    place, head = (hub, salt), s
+                elif place == (hub, salt):
+                    both = np.intersect1d(head, s, assume_unique=True).size
+                    if 100 * both >= PERCENT * (len(head) + len(s) - both):
+                        a.append(cid)
+                        b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,37 +383,30 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``class_id`` is the least id of the documents with the same shingle set, ``component_id`` the least id reachable by
     links, both the document's own id where its set is empty (null, empty or blank texts link with nothing). Shingles are
     runs of five words (A-Z lower-cased); a shorter text is one shingle. Rows that repeat an id are documents of their
-    own that share the id. A null id is a document whose component is that of its class. An empty table gives an empty
-    result. Other columns are ignored.
+    own that share the id. A null id is a document whose component is that of its class; ids may be any longs. Very long
+    texts are taken whole; a worker holds about two million characters, or one text, at a time. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = materialize(describe(docs), "described")
-    level = spark.sparkContext.broadcast(levels(described))
+    level = spark.sparkContext.broadcast(levels(described))  # 2**SLOT_BITS bytes
     meta = described.where("part is null").select("doc_id", "n", "cid")
-    classes = meta.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    blocks = materialize(shared(postings(docs, level, 4 * shuffle_partitions(spark))), "postings")
-    groups = materialize(large_groups(blocks), "large")
-    products = materialize(first_products(blocks), "products")
-    pairs = materialize(survivors(products), "pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(groups.select("cid")).distinct().join(classes.select("cid", "doc_id"), "cid")
-    sets = materialize(fetch_sets(docs, wanted), "sets")
-    links = materialize(verify(pairs, sets), "links")
-    found = materialize(connected_components(links), "components")
-    for salt in range(1, ROUNDS + 1):
-        placed = groups.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("component"))
-        if not placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").take(1):
-            break
-        counts = later_products(placed, salt, salt == ROUNDS)
-        if salt == ROUNDS:  # what pairs share in small groups, so that their counts are whole and the bound is exact
-            beside = products.where("small").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("c").alias("more"))
-            counts = counts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-            counts = counts.join(beside, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").withColumn("c", F.col("c") + F.coalesce("more", F.lit(0)))
-        fresh = materialize(survivors(counts).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(fresh)
-        more = materialize(verify(fresh, sets), "links")
-        links = links.unionByName(more)
-        if more.take(1):
+    classes = meta.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    buckets = 4 * shuffle_partitions(spark)
+    places = materialize(shared(postings(docs, level, buckets)), "postings")
+    found = links = tested = None
+    for k in range(ROUNDS + 1):
+        rows, blocks = unresolved(places, found, 10 * k, largest=k % 2 == 1 or k == ROUNDS)
+        if k < ROUNDS:
+            pairs = materialize(proposals(rows, blocks, tested), "pairs")
+        else:
+            pairs = survivors(products(rows, materialize(blocks, "blocks"), buckets))
+            pairs = materialize(_untested(pairs, tested), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        made = materialize(verify(pairs, docs, classes), "links")
+        links = made if links is None else links.unionByName(made)
+        if k == 0 or not made.isEmpty():
             found = materialize(connected_components(links), "components")
     by_class = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component"))
     least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
