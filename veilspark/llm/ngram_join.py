@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
@@ -39,6 +39,9 @@ SLOT_BITS = 24
 PARTS = 64
 #: Rounds of representatives before the product; more of them save pairs, none changes a result.
 ROUNDS = 3
+#: Representatives of a component in a block, and how many of them a class is compared with in a round.
+HEADS = 8
+BEST = 2
 #: A tile of the product has at most about so many rows outside its block's largest component, and so many rows at all.
 TILE_ROWS = 256
 TILE_COLUMNS = 4096
@@ -207,31 +210,60 @@ def _rank(col: str | F.Column, salt: int) -> F.Column:
     return F.xxhash64(col, F.lit(salt))
 
 
-def unresolved(places: DataFrame, found: DataFrame | None, salt: int, largest: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows, blocks) of the blocks with several components.
+#: Bits of a class id that a representative is known by.
+SHORT = 57
+
+
+def _short(cid: F.Column) -> F.Column:
+    return F.shiftrightunsigned(cid, 64 - SHORT)
+
+
+def _mask(salt: int) -> F.Column:
+    """Class ids are hashes, so that their order after this exclusive or is another one for each salt."""
+    return F.lit(((salt * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - SHORT)).cast("long")
+
 
-    ``rows`` has each posting's component; ``blocks`` has per token its rows, the rows outside its main component, and
-    representatives of that: members of least rank. The main component is the largest one, or the one of greatest rank.
+def nodes_of(places: DataFrame) -> DataFrame:
+    """(cid, n, level): classes of the blocks, and how much of a class's prefix other classes have, in 63 steps.
+
+    The members of a family with few changes of their own have most of it; they link with most others.
     """
-    if found is None:
-        rows = places.withColumn("component", F.col("cid"))
-    else:
-        rows = places.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    heads = [F.min(F.struct(_rank("cid", salt + k).alias("r"), "cid", "n")).alias(f"h{k}") for k in range(3 if largest else 1)]
-    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), *heads)
-    weight = F.struct(F.col("k") if largest else F.lit(0).alias("k"), _rank("component", salt).alias("r"), "component", F.col("k").alias("size"), F.array(*[f"h{k}" for k in range(len(heads))]).alias("heads"))
-    blocks = parts.groupBy("token").agg(F.count(F.lit(1)).alias("several"), F.sum("k").alias("rows"), F.max(weight).alias("main")).where("several > 1")
-    return rows, blocks.select("token", "rows", (F.col("rows") - F.col("main.size")).alias("outside"), F.col("main.component").alias("main"), "main.heads")
+    nodes = places.groupBy("cid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"))
+    prefix = F.expr(f"n - ({PERCENT}L * n + 99) div 100 + 1")
+    return nodes.select("cid", "n", F.least(F.floor(F.col("s") * 63 / prefix), F.lit(63)).cast("int").alias("level"))
+
 
+def unresolved(places: DataFrame, nodes: DataFrame, found: DataFrame | None, salt: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, blocks) of the blocks with several components.
 
-def proposals(rows: DataFrame, blocks: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """(a, b): for each class outside the main components of its blocks, the representative it shares most blocks with."""
+    ``rows`` has each posting's component and level; ``blocks`` has per token its rows, the rows outside its main
+    component, and representatives of that: for each of ``HEADS`` orders the first member of the highest level. The main
+    component is the largest one; of equal ones, which all are at first, that of the first representative.
+    """
+    if found is not None:
+        nodes = nodes.join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    else:
+        nodes = nodes.withColumn("component", F.col("cid"))
+    rows = places.join(nodes.select("cid", "level", F.coalesce("component", "cid").alias("component")), "cid")
+    heads = [f"h{k}" for k in range(1 if found is None else HEADS)]
+    rank = lambda k: F.shiftleft(F.col("level").cast("long"), SHORT).bitwiseOR(_short(F.col("cid")).bitwiseXOR(_mask(salt + k)))
+    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), *[F.max(rank(k)).alias(h) for k, h in enumerate(heads)])
+    blocks = parts.groupBy("token").agg(F.count(F.lit(1)).alias("several"), F.sum("k").alias("rows"), F.max(F.struct("k", *heads, "component")).alias("main")).where("several > 1")
+    known = [F.col(f"main.{h}").bitwiseAND(F.lit((1 << SHORT) - 1)).bitwiseXOR(_mask(salt + k)) for k, h in enumerate(heads)]
+    return rows, blocks.select("token", "rows", (F.col("rows") - F.col("main.k")).alias("outside"), F.col("main.component").alias("main"), F.array_distinct(F.array(*known)).alias("heads"))
+
+
+def proposals(rows: DataFrame, blocks: DataFrame, nodes: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """(a, b): for each class outside the main components of its blocks, the ``BEST`` representatives that it shares most
+    blocks with, of those with a suitable size."""
     met = rows.join(blocks.select("token", "main", "heads"), "token").where("component != main").select("cid", "n", F.explode("heads").alias("h"))
-    met = met.where((F.lit(PERCENT) * F.greatest("n", "h.n") <= F.lit(100) * F.least("n", "h.n")) & (F.col("cid") != F.col("h.cid")))
-    counted = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counted = met.groupBy(F.col("cid").alias("a"), "h").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    counted = counted.join(nodes.select(_short(F.col("cid")).alias("h"), F.col("cid").alias("b"), F.col("n").alias("nb"), "level"), "h")
+    counted = counted.where(F.lit(PERCENT) * F.greatest("n", "nb") <= F.lit(100) * F.least("n", "nb"))
     if tested is not None:
         counted = _untested(counted, tested)
-    return counted.groupBy("a").agg(F.max(F.struct("c", _rank("b", 0).alias("r"), "b")).alias("best")).select("a", "best.b")
+    first = F.row_number().over(Window.partitionBy("a").orderBy(F.col("c").desc(), F.col("level").desc(), "b"))
+    return counted.withColumn("__k", first).where(F.col("__k") <= BEST).select("a", "b")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -395,11 +427,12 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = meta.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     buckets = 4 * shuffle_partitions(spark)
     places = materialize(shared(postings(docs, level, buckets)), "postings")
+    nodes = materialize(nodes_of(places), "nodes")
     found = links = tested = None
     for k in range(ROUNDS + 1):
-        rows, blocks = unresolved(places, found, 10 * k, largest=k % 2 == 1 or k == ROUNDS)
+        rows, blocks = unresolved(places, nodes, found, HEADS * k)
         if k < ROUNDS:
-            pairs = materialize(proposals(rows, blocks, tested), "pairs")
+            pairs = materialize(proposals(rows, blocks, nodes, tested), "pairs")
         else:
             pairs = survivors(products(rows, materialize(blocks, "blocks"), buckets))
             pairs = materialize(_untested(pairs, tested), "pairs")
