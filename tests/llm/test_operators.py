@@ -187,8 +187,11 @@ def test_bpe_round_trip(spark):
         assert r["ids"] == want and r["decoded"] == library.decode(want, skip_special_tokens=False)
     offsets, ids = codec(path).encode_batch(pa.array([], pa.string()))
     assert len(ids) == 0 and offsets.tolist() == [0]
-    with pytest.raises(ValueError):
-        bpe_encode(table(spark, []).withColumnRenamed("h", "ids"), path)
+    clash = table(spark, hard).withColumnsRenamed({"h": "IDS", "bucket": "decoded"})
+    both = {r["doc_id"]: r for r in bpe_encode(clash, path, decoded_col="decoded", drop=["text"]).collect()}
+    assert [c for c in both[0].asDict()] == ["doc_id", "lang", "source", "n_chars", "ids", "decoded"]
+    assert all(both[r["doc_id"]]["ids"] == r["ids"] and both[r["doc_id"]]["decoded"] == r["decoded"] for r in rows)
+    assert bpe_decode(bpe_encode(table(spark, []), path), path).count() == 0
 
 
 def test_token_files(spark, tmp_path):

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces whose ids a worker remembers; when full, the memory starts anew. It changes no result.
-MEMORY = 1_200_000
+from .common import trimmed
+
+#: Pieces, and pairs of tokens, that each half of a worker's memory holds; the older half makes room. No result depends on it.
+MEMORY = 100_000
+PAIRS = 200_000
 #: The split rule of byte-level vocabularies, and the end of the letters for which it is applied here directly.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LATIN = "\u0250"
@@ -38,17 +41,44 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class OffsetTable:
+    """Decoder of one byte-level vocabulary file in the ``tokenizers`` JSON form."""
+
+    def __init__(self, spec: dict):
+        vocab, special, alphabet = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}, byte_alphabet()
+        spelled: list[bytes] = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+        for t, i in vocab.items():
+            spelled[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
+        for t, i in special.items():
+            spelled[i] = t.encode()
+        self.blob = np.frombuffer(b"".join(spelled), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])]).astype(np.int64)
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        start = self.offsets[ids]
+        n = self.offsets[ids + 1] - start
+        total = np.cumsum(n)
+        if not len(total) or not total[-1]:
+            return b""
+        index = np.arange(total[-1]) + np.repeat(start - (total - n), n)
+        return self.blob[index].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+
 class BytePairCodec:
-    """Encoder and decoder of one byte-level vocabulary file in the ``tokenizers`` JSON form."""
+    """Encoder of one byte-level vocabulary file in the ``tokenizers`` JSON form."""
 
-    def __init__(self, path: str):
+    def __init__(self, spec: dict):
         import ahocorasick
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        self.pretokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        split = spec["pre_tokenizer"]
+        if split["type"] != "ByteLevel" or split["add_prefix_space"] or spec["normalizer"]:
+            raise ValueError("not a plain byte-level vocabulary")
+        self.pretokens = ByteLevel(add_prefix_space=False, use_regex=split.get("use_regex", True)).pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.alphabet = byte_alphabet()
         # internal numbers follow merge order: bytes first, then one for each merge
@@ -70,24 +100,17 @@ class BytePairCodec:
         for t, n in self.number.items():
             self.automaton.add_word(t, n)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}  # by left << 32 | right
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spelling = {b: c for c, b in self.alphabet.items()}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        spelled: list[bytes] = [b""] * size
-        for t, i in vocab.items():
-            spelled[i] = bytes(self.alphabet[c] for c in t) if all(c in self.alphabet for c in t) else t.encode()
-        for t, i in self.special.items():
-            spelled[i] = t.encode()
-        self.blob = np.frombuffer(b"".join(spelled), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])]).astype(np.int64)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging keeps ``left`` and ``right`` apart: no earlier merge joins pieces across their border."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self._apart(left, right)
         return known
@@ -123,7 +146,7 @@ class BytePairCodec:
         greedy = [n for _, n in self.automaton.iter_long(spelled)]
         left = -1
         for right in greedy:  # where longest matches are all compatible, nothing is ever taken back
-            if left >= 0 and not compatible.get((left, right)) and not self.may_follow(left, right):
+            if left >= 0 and not compatible.get(left << 32 | right) and not self.may_follow(left, right):
                 break
             left = right
         else:
@@ -139,7 +162,7 @@ class BytePairCodec:
         at = 0
         while token >= 0:
             end = at + length[token]
-            if alive[end] and (not out or (compatible.get((out[-1], token)) or (out[-1], token) not in compatible and self.may_follow(out[-1], token))):
+            if alive[end] and (not out or compatible.get(out[-1] << 32 | token) or self.may_follow(out[-1], token)):
                 out.append(token)
                 at = end
                 token = longest[at] if at < last else -1
@@ -156,32 +179,35 @@ class BytePairCodec:
             return token.replace(" ", self.spelling[32])
         return token.encode().decode("latin-1").translate(self.spelling)
 
-    def _token(self, token: str) -> bytes:
-        made = self.memory[token] = array("i", self.encode_pretoken(self._spell(token))).tobytes()
+    def _keep(self, piece: str, made: bytes) -> bytes:
+        if len(piece) <= 64:  # longer ones seldom come again
+            if len(self.memory) >= MEMORY:
+                self.older, self.memory = self.memory, {}
+            self.memory[piece] = made
         return made
 
+    def _token(self, token: str) -> bytes:
+        return self._keep(token, self.older.get(token) or array("i", self.encode_pretoken(self._spell(token))).tobytes())
+
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece, remembered. Unicode versions agree on Latin letters, so those are split here directly."""
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
+        if made := self.older.get(piece):
+            return self._keep(piece, made)
         if max(piece) < LATIN:
             tokens = PRETOKEN.findall(piece)
             if len(tokens) == 1:
                 return self._token(piece)
-            get = self.memory.get
-            made = b"".join([get(t) or self._token(t) for t in tokens])
+            made = b"".join([self.memory.get(t) or self._token(t) for t in tokens])
         else:
             made = b"".join([array("i", self.encode_pretoken(spelled)).tobytes() for spelled, _ in self.pretokens(piece)])
-        self.memory[piece] = made
-        return made
+        return self._keep(piece, made)
 
     def _plain(self, text: str) -> bytes:
         """Text without special tokens: cut before a single space between characters that are not white space.
 
         A pretoken never spans such a border, so the pieces are looked up one by one.
         """
-        get = self.memory.get
-        return b"".join([get(p) or self._piece(p) for p in BORDER.split(text) if p])
+        return b"".join([self.memory.get(p) or self._piece(p) for p in BORDER.split(text) if p])
 
     def encode(self, text: str) -> np.ndarray:
         parts: list[bytes] = []
@@ -217,11 +243,10 @@ class BytePairCodec:
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         first = offsets[:-1] - offsets[0]
-        get = self.memory.get
-        made = [get(p) or self._piece(p) for p in [" " + w for w in coded.dictionary.to_pylist()]]
+        made = [self.memory.get(p) or self._piece(p) for p in [" " + w for w in coded.dictionary.to_pylist()]]
         known = len(made)
         heads = pc.take(coded.dictionary, pa.array(codes[first])).to_pylist()
-        made += [(get(w) or self._piece(w)) if w else b"" for w in heads]
+        made += [(self.memory.get(w) or self._piece(w)) if w else b"" for w in heads]
         for i in alone:
             made[known + i] = self.encode(texts[int(i)].as_py()).tobytes()
         codes[first] = known + np.arange(len(texts))
@@ -235,46 +260,68 @@ class BytePairCodec:
         begins = np.concatenate([[0], total])[np.concatenate([first, [len(codes)]])]
         return begins.astype(np.int32), flat
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        start = self.offsets[ids]
-        n = self.offsets[ids + 1] - start
-        total = np.cumsum(n)
-        if not len(total) or not total[-1]:
-            return b""
-        index = np.arange(total[-1]) + np.repeat(start - (total - n), n)
-        return self.blob[index].tobytes()
+
+_encoders: dict[str, BytePairCodec] = {}
+_decoders: dict[str, OffsetTable] = {}
 
 
-_codecs: dict[str, BytePairCodec] = {}
+def _load(path: str, kind: type, known: dict):
+    if path not in known:
+        with open(path, encoding="utf-8") as f:
+            known[path] = kind(json.load(f))
+    return known[path]
 
 
 def codec(path: str) -> BytePairCodec:
-    """One codec per worker process and file."""
-    if path not in _codecs:
-        _codecs[path] = BytePairCodec(path)
-    return _codecs[path]
+    """One encoder per worker process and file."""
+    return _load(path, BytePairCodec, _encoders)
+
+
+def offset_table(path: str) -> OffsetTable:
+    """One decoder per worker process and file; it needs no merges and no automaton."""
+    return _load(path, OffsetTable, _decoders)
+
+
+def _added(df: DataFrame, columns: dict[str, T.DataType], drop: Collection[str]) -> tuple[list[str], T.StructType]:
+    """(kept columns, schema) with the new columns last; columns of their names, in any case, make room."""
+    gone = {c.lower() for c in (*columns, *drop)}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    return kept, T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, t) for c, t in columns.items())])
+
+
+def _extended(batch: pa.RecordBatch, kept: int, values: list[pa.Array], schema: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[:kept], *values], names=schema)
+
+
+def _decoded(table: OffsetTable, lists: pa.ListArray) -> pa.Array:
+    return pa.array([table.decode(np.asarray(x.values)) if x.is_valid and len(x.values) else "" for x in lists], pa.string())
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+IDS = T.ArrayType(T.IntegerType())
 
 
-def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, drop: Collection[str] = ()) -> DataFrame:
     """Adds ``out_col`` (array of int): the ids of the whole text, without special tokens of its own.
 
-    A special token's string inside a text becomes its id. Null and empty texts have no ids (an empty array). All other
-    columns pass through unchanged; ``out_col`` must not be among them. A narrow operator: rows neither move nor repeat.
+    With ``decoded_col``, what the ids decode to is added by the same worker. A special token's string inside a text
+    becomes its id. Null and empty texts have no ids (an empty array); a very long text is encoded whole, in memory that
+    grows with that text alone. All other columns pass through, but for those in ``drop``; a column of a new one's name
+    is replaced. Repeated rows and null ids pass through as they are. An empty table gives an empty result. A narrow
+    operator: rows neither move nor repeat.
     """
-    if out_col in df.columns:
-        raise ValueError(f"column {out_col!r} exists already")
+    new = {out_col: IDS} | ({decoded_col: T.StringType()} if decoded_col else {})
+    kept, schema = _added(df, new, drop)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(vocab_path).encode_batch
         for batch in batches:
-            offsets, flat = encode(batch.column(batch.schema.get_field_index(text_col)))
-            yield _with_column(batch, out_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
+            offsets, flat = encode(batch.column(len(kept)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            values = [ids, _decoded(offset_table(vocab_path), ids)] if decoded_col else [ids]
+            yield _extended(batch, len(kept), values, names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -282,17 +329,15 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: st
 
     Null and empty arrays decode to the empty string. An id outside the vocabulary fails the job. Columns as above.
     """
-    if out_col in df.columns:
-        raise ValueError(f"column {out_col!r} exists already")
+    kept, schema = _added(df, {out_col: T.StringType()}, ())
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = codec(vocab_path).decode_bytes
+        table = offset_table(vocab_path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col))
-            texts = [decode(np.asarray(x.values)).decode("utf-8", "replace") if x.is_valid and len(x.values) else "" for x in lists]
-            yield _with_column(batch, out_col, pa.array(texts, pa.string()))
+            yield _extended(batch, len(kept), [_decoded(table, batch.column(len(kept)))], names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").cast(IDS).alias("__ids")).mapInArrow(trimmed(run), schema)
 
 
 def ids_digest(ids: F.Column) -> F.Column:

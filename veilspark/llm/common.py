@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,51 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def python_operators(spark: SparkSession, rows: int = 512) -> None:
-    """Let workers import this package, and bound the rows of an Arrow batch and with them a worker's memory."""
+#: Rows and bytes of an Arrow batch, the same for all operators, as the settings belong to the session.
+BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
+
+
+def python_operators(spark: SparkSession) -> None:
+    """Let workers import this package, and bound an Arrow batch and with it a worker's memory."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker gives freed memory back: workers are reused by later stages."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):  # of the C library on Linux
+        trim.malloc_trim(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` begins so, whatever the case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = "_" + name
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, trimmed
 from .components import connected_components
 from .hashing import mix64, word_hashes, word_shingles
 
@@ -123,7 +123,7 @@ def describe(docs: DataFrame) -> DataFrame:
             none = [None] * PARTS
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, range(PARTS), parts), DESCRIBED, strict=True)], schema=DESCRIBED)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, part int, counts binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, cid long, part int, counts binary")
 
 
 def levels(described: DataFrame) -> np.ndarray:
@@ -186,7 +186,7 @@ def postings(docs: DataFrame, level, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, data binary")
+    return docs.select("text").mapInArrow(trimmed(run), "bucket int, data binary")
 
 
 def shared(packed: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                         b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

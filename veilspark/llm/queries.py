@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode, ids_digest
+from .bpe import bpe_encode, ids_digest
 from .common import scratch_dir, python_operators, table
 from .exact_dedup import exact_dedup
 from .fingerprint import neighbour_fingerprints
@@ -62,8 +62,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     python_operators(spark)
     path = path or vocab(BYTE_VOCAB)
-    coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    done = bpe_decode(coded, path)
+    done = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded", drop=["text"])
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -82,7 +81,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    python_operators(spark, 1024)
+    python_operators(spark)
     files = f"{scratch_dir(spark).rstrip('/')}/veilspark/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), files, path or vocab(WORD_VOCAB), 1)
     back = read_token_files(spark, files)

@@ -25,15 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bucket, shuffle_partitions
+from .common import range_bucket, shuffle_partitions, trimmed
 
 MAGIC = b"VSBITS01"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
+#: Ids that the reader unpacks at once.
+READ_IDS = 1 << 18
 #: Ids in an image before the next one begins; a document is never split.
 IMAGE_IDS = 1 << 20
 NO_ID = -(1 << 63)
-MEMORY = 600_000
+#: Pieces that each half of a worker's memory holds; the older half makes room.
+MEMORY = 100_000
 #: A row per image; ``inner`` counts the ids of the range's images before it.
 IMAGES = "bucket int, image long, inner long, n_docs long, n_ids long, data binary"
 
@@ -117,6 +120,7 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
 
     def _learn(self, pieces: list[str]) -> None:
@@ -126,13 +130,15 @@ class WordTokenizer:
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece."""
         if len(self.memory) > MEMORY:
-            self.memory.clear()
+            self.older, self.memory = self.memory, {}
         memory = self.memory
         if self.lowers:
             pieces = [p.lower() if p.isascii() and "<" not in p else p for p in pieces]
         parts = [(p[:-1], p[-1]) if p[-1:] in ".," and p.isascii() and p[:-1].isalpha() else (p,) for p in pieces]
-        if unknown := list({w for ws in parts for w in ws if w not in memory}):
-            self._learn(unknown)
+        if unknown := {w for ws in parts for w in ws if w not in memory}:
+            memory.update((w, self.older[w]) for w in unknown & self.older.keys())
+            if unknown := [w for w in unknown if w not in memory]:
+                self._learn(unknown)
         return [memory[ws[0]] if len(ws) == 1 else memory[ws[0]] + memory[ws[1]] for ws in parts]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +179,7 @@ def packed_documents(df: DataFrame, vocab_path: str, end_id: int, bits: int, id_
             packed = [data[a:b] + end for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, packed binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, packed binary")
 
 
 def write_token_files(df: DataFrame, path: str, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, image_ids: int = IMAGE_IDS) -> None:
@@ -214,7 +220,7 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, end_id: int, id
         if held:
             yield flush()
 
-    rows.mapInArrow(run, IMAGES).write.parquet(path)
+    rows.mapInArrow(trimmed(run), IMAGES).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -232,11 +238,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 image = Image(data)
-                ids, cuts = image.ids(0, image.n_ids).astype("<u4").tobytes(), image.starts
-                doc_ids = pa.array(image.doc_ids, pa.int64(), mask=image.doc_ids == NO_ID)
-                rows = [ids[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(base + cuts[:-1], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "start", "ids"])
-
-    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
+                # by block offsets: documents of about READ_IDS ids at a time, of which only their blocks are unpacked
+                steps = np.unique(np.append(np.searchsorted(image.starts, np.arange(0, image.n_ids, READ_IDS)), len(image.doc_ids)))
+                for first, last in zip(np.append(0, steps[steps > 0]).tolist(), steps[steps > 0].tolist(), strict=False):
+                    cuts = image.starts[first : last + 1]
+                    ids = image.ids(int(cuts[0]), int(cuts[-1])).astype("<u4").tobytes()
+                    at = (4 * (cuts - cuts[0])).tolist()
+                    own = image.doc_ids[first:last]
+                    columns = [pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(base + cuts[:-1], pa.int64()), pa.array([ids[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids"])
+
+    return placed.mapInArrow(trimmed(run), "doc_id long, start long, ids binary")
 
 
