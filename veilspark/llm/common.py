@@ -107,3 +107,8 @@ def _count_at_most(value: F.Column, bounds: list) -> F.Column:
         return F.when(value < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
     return search(0, len(bounds))
+
+
+def placed(df: DataFrame, buckets: int, col: str = "bucket") -> DataFrame:
+    """Rows dealt by bucket number itself, a bucket a partition; hashing the numbers would leave some partitions empty."""
+    return df.repartitionById(buckets, F.pmod(F.col(col), F.lit(buckets)).cast("int"))

@@ -24,11 +24,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text). (2) Salted digest groups merge: a group of copies is dealt to ``salts`` reducers, each of which compares
     whole texts. (3) The at most ``salts`` winners of a digest are combined globally, again on the whole text.
     (4) Rows find their group by (digest, salt), so the largest group is split over ``salts`` keys here, too.
-    The digest is SHA-256 beside a 64-bit xxHash and the length; texts are compared in full in stages 1 to 3.
+    The digest is SHA-256 beside a 64-bit xxHash; texts are compared in full in stages 1 to 3.
 
     Null text equals empty text. A null id sorts after all others; a group of null ids only keeps null, with
     ``kept`` true. Rows that repeat both id and text belong to one group and share the verdict of that id. An empty
-    table gives an empty result. Other columns are ignored, whatever their names.
+    table gives an empty result. Very long texts are compared whole, a row at a time. Other columns are ignored,
+    whatever their names.
     """
     norm = normalised(F.col(text_col))
     base = df.select(F.col(id_col).alias("__id"), norm.alias("__t")).select(
@@ -62,6 +63,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that :func:`exact_dedup` keeps; rows of the same id and text stay together."""
-    verdict = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return df.join(verdict, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """Of each group of rows with identical normalised texts one row, all columns: one with the group's least id.
+
+    Rows are told apart by id and digest, so a copy goes even if another text under its id stays, and of rows that repeat
+    both one stays. Texts move once: rows meet the verdict in the partitions in which their repeats were dropped.
+    """
+    key = lambda i: F.xxhash64(i, i.isNull())
+    verdict = exact_dedup(df, id_col, text_col).where("kept").select(key(F.col(id_col)).alias("__i"), F.col("text_sha256").alias("__d")).distinct()
+    rows = df.withColumn("__i", key(F.col(id_col))).withColumn("__d", F.sha2(normalised(F.col(text_col)), 256))
+    return rows.dropDuplicates(["__d", "__i"]).join(verdict, ["__d", "__i"], "left_semi").drop("__i", "__d")

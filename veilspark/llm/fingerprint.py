@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_bucket, shuffle_partitions
+from .common import placed, range_bucket, shuffle_partitions, trimmed
 from .hashing import mix64, power_table
 
 SHINGLE = 16
@@ -92,8 +93,9 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     Documents are dealt to ranges of ids and sorted; a task streams its range, and the greatest document of each range is
     also sent to the end of the range above. So whole texts move once, and neighbours are never joined.
-    Null text counts as empty. A null id is the least of all. Rows that repeat an id follow each other by text. One row is its own successor. An empty
-    table gives an empty result. Other columns are ignored.
+    Null text counts as empty. A null id is the least of all. Rows that repeat an id follow each other by text. One row is
+    its own successor. A very long text is fingerprinted whole; a worker holds it and its successor. An empty table gives
+    an empty result. Other columns are ignored.
     """
     parts = shuffle_partitions(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -111,14 +113,14 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     is_top = F.col("doc_id").eqNullSafe(greatest["doc_id"]) & (F.sha2("text", 256) == greatest["h"])
     places = F.when(is_top, F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("tail")), F.struct(to[F.col("bucket")].alias("b"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("tail"))))
     rows = docs.withColumn("place", F.explode(places)).select("doc_id", "text", F.col("place.b").alias("bucket"), F.col("place.tail").alias("tail"))
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.sha2("text", 256).desc())
+    rows = placed(rows, parts).sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.sha2("text", 256).desc())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None
         seen_tail = None
-        for frame in frames:
+        for batch in batches:
             out = []
-            for doc, text, b, tail in zip(frame["doc_id"], frame["text"], frame["bucket"], frame["tail"], strict=True):
+            for doc, text, b, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 points = code_points(text)
                 here = (doc, b, points, shingle_hashes(points))
                 if waiting is not None and waiting[1] == b and seen_tail != b:
@@ -128,13 +130,14 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
                 else:
                     waiting = here
             if out:
-                yield pd.DataFrame(out, columns=OUTPUT_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=OUTPUT_NAMES)
 
-    return rows.mapInPandas(run, OUTPUT)
+    return rows.mapInArrow(trimmed(run), OUTPUT)
 
 
 OUTPUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 OUTPUT_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in OUTPUT.split(", ")]
 
 
 def _row(here: tuple, following: tuple, scale: int) -> tuple:
@@ -152,4 +155,4 @@ def _row(here: tuple, following: tuple, scale: int) -> tuple:
         edited_hashes = np.concatenate([hashes[: kept - SHINGLE + 1], shingle_hashes(edited[kept - SHINGLE + 1 : kept + SHINGLE - 1]), next_hashes[: put - SHINGLE + 1]])
     a, e, b = retain(hashes, scale), retain(edited_hashes, scale), retain(next_hashes, scale)
     sha = hashlib.sha256(edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc if doc == doc else None, n, sha, to_text(a), to_text(e), containment(a, e), containment(a, b))
+    return (doc, n, sha, to_text(a), to_text(e), containment(a, e), containment(a, b))

@@ -23,11 +23,13 @@ import re
 from collections.abc import Iterator, Set
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Parts over which the pages of one host are dealt when wrappers meet pages.
 SALTS = 32
 #: Different pages of a host that must share a text before it counts as fixed.
@@ -358,13 +360,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     joined = rows.join(wrappers, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper", "common")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            known = {w: json.loads(w) for w in set(frame["wrapper"].dropna())}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            known = {w: json.loads(w) for w in column["wrapper"].unique().to_pylist() if w is not None}
             texts = []
-            for page, w, c in zip(frame["html"], frame["wrapper"], frame["common"], strict=True):
-                texts.append(main_text(blocks_of(page), known.get(w, []), frozenset() if c is None else frozenset(c)))
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
+            for page, w, c in zip(column["html"].to_pylist(), column["wrapper"].to_pylist(), column["common"].to_pylist(), strict=True):
+                texts.append(main_text(blocks_of(page), known.get(w, []), frozenset(c or ())))
+            yield pa.RecordBatch.from_arrays([column["page_id"], column["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)[id_col]
-    return joined.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(trimmed(run), f"page_id {kind}, url string, text string, n_chars long")

@@ -43,7 +43,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_ratio: float = 1.5,
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget_ratio: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
     """Weighted fair queueing over shuffled documents: one row per document.
 
-    Columns ``id_col, size, source_size, target, servings, taken, finish``. Every source is shuffled by a keyed hash of
+    Columns ``id_col, size, source, source_size, target, servings, taken, finish`` (of the first serving), ``round`` (the
+    time between servings) and a key of the row. Every source is shuffled by a keyed hash of
     the id; the virtual finish time of a document's e-th serving is
     ``(e * source_size + source words up to and with it) / target``. The servings of all sources, ordered by finish time,
     are taken while their running sum stays within the budget of ``budget_ratio`` times all words.
@@ -54,10 +55,11 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     A null text has size 0, a null source is a source of its own that ranks last, a null id is hashed as the empty
     string. Ties in finish time fall to source, hash, id and serving. Rows that repeat an id each count. A source of size
-    0 has target 0, and its documents take 0. An empty table gives an empty result. Other columns are ignored.
+    0 has target 0, and its documents take 0. A very long text is one document like others. An empty table gives an empty
+    result. Other columns are ignored.
     """
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    docs = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), word_count(F.col(text_col)).alias("size"), F.sha2(key, 256).alias("__h"))
+    docs = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), word_count(F.col(text_col)).alias("size"), F.sha2(key, 256).alias("__h"), *row_key(df, id_col, text_col, source_col))
     docs = docs.withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
     cells = docs.groupBy(F.col("__src").alias("source"), "__b").agg(F.sum("size").alias("__c"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("__c").alias("source_size")), weights, budget_ratio, max_epochs).withColumnRenamed("source", "__tsrc")
@@ -67,7 +69,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     within = Window.partitionBy("__src", "__b").orderBy("__h", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = docs.withColumn("__in", F.sum("size").over(within))
     placed = placed.join(cells, F.col("__src").eqNullSafe(F.col("source")) & (F.col("__b") == F.col("__bk")))
-    placed = materialize(placed.select("__id", "source", "size", "__h", "source_size", "target", (F.col("__in") + F.col("__before")).alias("__cum")), "mixing")
+    placed = materialize(placed.select("__id", "source", "size", "__h", "__k1", "__k2", "source_size", "target", (F.col("__in") + F.col("__before")).alias("__cum")), "mixing")
 
     def finish(serving) -> F.Column:
         return F.when(F.col("target") > 0, (F.lit(serving) * F.col("source_size") + F.col("__cum")).cast("double") / F.col("target"))
@@ -102,13 +104,23 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             inside_budget = inside_budget | ((bin_of(v) == cut_bin) & (here < cut))
         taken = taken + F.when(inside_budget, 1).otherwise(0)
     out = placed.withColumn("servings", taken.cast("int"))
-    return out.select(F.col("__id").alias(id_col), "size", "source", "source_size", "target", "servings", (F.col("size") * F.col("servings")).alias("taken"), finish(0).alias("finish"))
+    return out.select(F.col("__id").alias(id_col), "size", "source", "source_size", "target", "servings", (F.col("size") * F.col("servings")).alias("taken"), finish(0).alias("finish"), F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).alias("round"), "__k1", "__k2")
+
+
+def row_key(df: DataFrame, id_col: str, text_col: str, source_col: str) -> list[F.Column]:
+    """Two hashes of a row's id, text and source, never null."""
+    parts = [x for c in (id_col, source_col, text_col) for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*parts).alias("__k1"), F.xxhash64(F.lit("2"), *parts).alias("__k2")]
 
 
 def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``df``, all columns, each as often as it is served, range-sorted by finish time."""
+    """The mix itself: the rows of ``df``, all columns, each as often as it is served, range-sorted by finish time.
+
+    Every serving has a finish time of its own, so that sources keep their shares anywhere in the mix. Rows are told apart
+    by id, source and text; of rows that repeat all three one stands for all, with the servings of all.
+    """
     plan = mix_sources(df, id_col, text_col, source_col, **options).where("servings > 0")
-    plan = plan.groupBy(F.col(id_col).alias("__pid")).agg(F.min("servings").alias("__n"), F.min("finish").alias("__f"))
-    rows = df.join(plan, F.col(id_col).eqNullSafe(F.col("__pid")))
-    rows = rows.withColumn("__e", F.explode(F.expr("sequence(0, __n - 1)")))
-    return rows.orderBy("__e", "__f").drop("__pid", "__n", "__f", "__e")
+    each = F.transform(F.sequence(F.lit(0), F.col("servings") - 1), lambda e: F.col("finish") + e * F.col("round"))
+    plan = plan.groupBy("__k1", "__k2").agg(F.flatten(F.collect_list(each)).alias("__f"))
+    rows = df.select("*", *row_key(df, id_col, text_col, source_col)).dropDuplicates(["__k1", "__k2"]).join(plan, ["__k1", "__k2"])
+    return rows.withColumn("__f", F.explode("__f")).orderBy("__f", "__k1", "__k2").drop("__k1", "__k2", "__f")

@@ -97,33 +97,32 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+DESCRIBED = pa.schema([("doc_id", pa.int64()), ("ver", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Pass 1: a row (doc_id, n, cid) per document, and per task the counts of its classes' shingles by slot."""
+    """Pass 1: a row (doc_id, ver, n, cid) per document, and per task the counts of its classes' shingles by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.int32)
         seen: set[int] = set()
         for rows in _rows(batches):
-            ids, sizes, cids = [], [], []
-            for (i, _), s in zip(rows, _sets([t for _, t in rows]), strict=True):
+            sizes, cids = [], []
+            for s in _sets([r[-1] for r in rows]):
                 cid = _set_id(s) if len(s) else None
-                ids.append(i)
                 sizes.append(len(s))
                 cids.append(cid)
                 if len(s) and cid not in seen:
                     seen.add(cid)
                     np.add.at(counts, _slots(s), 1)
-            none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, sizes, cids, none, none), DESCRIBED, strict=True)], schema=DESCRIBED)
+            none = [None] * len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r[0] for r in rows], [r[1] for r in rows], sizes, cids, none, none), DESCRIBED, strict=True)], schema=DESCRIBED)
         if seen:
             parts = [pa.compress(c.tobytes(), "zstd", asbytes=True) for c in np.split(np.minimum(counts, 255).astype(np.uint8), PARTS)]
             none = [None] * PARTS
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, range(PARTS), parts), DESCRIBED, strict=True)], schema=DESCRIBED)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, none, range(PARTS), parts), DESCRIBED, strict=True)], schema=DESCRIBED)
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, n long, cid long, part int, counts binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, ver long, n long, cid long, part int, counts binary")
 
 
 def levels(described: DataFrame) -> np.ndarray:
@@ -410,7 +409,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, n_shingles, class_id, component_id``.
+    """One row per document: ``id_col, n_shingles, class_id, component_id``, and ``group_id`` (one per component, null of an
+    empty set) and ``ver`` (a digest of the text).
 
     ``class_id`` is the least id of the documents with the same shingle set, ``component_id`` the least id reachable by
     links, both the document's own id where its set is empty (null, empty or blank texts link with nothing). Shingles are
@@ -421,9 +421,9 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = materialize(describe(docs), "described")
+    described = materialize(describe(docs.select("doc_id", F.xxhash64("text").alias("ver"), "text")), "described")
     level = spark.sparkContext.broadcast(levels(described))  # 2**SLOT_BITS bytes
-    meta = described.where("part is null").select("doc_id", "n", "cid")
+    meta = described.where("part is null").select("doc_id", "ver", "n", "cid")
     classes = meta.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     buckets = 4 * shuffle_partitions(spark)
     places = materialize(shared(postings(docs, level, buckets)), "postings")
@@ -443,6 +443,20 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = materialize(connected_components(links), "components")
     by_class = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component"))
     least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    verdict = by_class.join(least, "component").select("cid", F.col("doc_id").alias("class_id"), "component_id")
+    verdict = by_class.join(least, "component").select("cid", F.col("doc_id").alias("class_id"), "component_id", F.col("component").alias("group_id"))
     out = meta.join(verdict, "cid", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "group_id", "ver")
+
+
+def drop_linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of linked rows one row, all columns: one with the least id (a null id is the last), then the least
+    digest of its text. Rows without words stay. Rows are told apart by id and digest; of rows that repeat both one stays.
+    """
+    groups = ngram_components(df, id_col, text_col)
+    key = lambda i: F.xxhash64(i, i.isNull())
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "ver")
+    heads = groups.where("group_id is not null").groupBy("group_id").agg(F.min(place).alias("p")).select(key(F.col("p.id")).alias("__i"), F.col("p.ver").alias("__v"))
+    heads = heads.unionByName(groups.where("group_id is null").select(key(F.col(id_col)).alias("__i"), F.col("ver").alias("__v")).distinct())
+    text = F.col(text_col).cast("string")
+    rows = df.withColumn("__i", key(F.col(id_col).cast("long"))).withColumn("__v", F.xxhash64(text)).dropDuplicates(["__i", "__v"])
+    return rows.join(heads, ["__i", "__v"], "left_semi").drop("__i", "__v")

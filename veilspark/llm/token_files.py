@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bucket, shuffle_partitions, trimmed
+from .common import placed, range_bucket, shuffle_partitions, trimmed
 
 MAGIC = b"VSBITS01"
 HEAD = struct.Struct("<8sIIQQQ")
@@ -194,7 +194,7 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, end_id: int, id
     ids = df.select(F.col(id_col).cast("long").alias("doc_id"))
     bucket = range_bucket(ids, "doc_id", parts)
     rows = packed_documents(df, vocab_path, end_id, bits, id_col, text_col).withColumn("bucket", bucket)
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "packed")
+    rows = placed(rows, parts).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -232,7 +232,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     images = spark.read.schema(IMAGES).parquet(path)
     ranges = images.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     ranges = ranges.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = images.join(F.broadcast(ranges), "bucket").select((F.col("base") + F.col("inner")).alias("start"), "data")
+    based = images.join(F.broadcast(ranges), "bucket").select((F.col("base") + F.col("inner")).alias("start"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,6 +248,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     columns = [pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(base + cuts[:-1], pa.int64()), pa.array([ids[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids"])
 
-    return placed.mapInArrow(trimmed(run), "doc_id long, start long, ids binary")
+    return based.mapInArrow(trimmed(run), "doc_id long, start long, ids binary")
 
 
