@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.bpe import bpe_decode, bpe_encode, ids_digest
-from veilspark.llm.common import materialize, python_operators, table
+from veilspark.llm.bpe import bpe_encode, ids_digest
+from veilspark.llm.common import free_name, materialize, python_operators, table
 from veilspark.llm.exact_dedup import drop_copies
 from veilspark.llm.mixing import mixture
-from veilspark.llm.ngram_join import ngram_components
+from veilspark.llm.ngram_join import drop_linked
 from veilspark.llm.queries import BYTE_VOCAB, vocab
 from veilspark.llm.toxicity import is_toxic, score_documents, train
 
@@ -21,8 +21,9 @@ from veilspark.llm.toxicity import is_toxic, score_documents, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no category of the chain rejects; the chain is fitted on the labelled documents of the input."""
     python_operators(spark)
-    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(~is_toxic(scored)).select(*docs.columns)
+    prefix = free_name(docs, "p_")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")), prefix=prefix)
+    return scored.where(~is_toxic(scored, prefix)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shingle Jaccard, the document with the least id stays."""
     python_operators(spark)
-    groups = ngram_components(docs)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    return drop_linked(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digest of what they decode to."""
     python_operators(spark)
     path = vocab(BYTE_VOCAB)
-    done = bpe_decode(bpe_encode(docs, path).drop("text"), path)
+    done = bpe_encode(docs, path, decoded_col="decoded", drop=["text"])
     return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
