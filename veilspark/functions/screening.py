@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +14,23 @@ from . import rules as R
 _B = R.BORDER
 
 
+#: The density rule as one pattern on lower-case text: a whole word of 5 to 20 of the plain form, with two substitutions.
+DENSITY = rf"{_B}(?=[a-z0-9]{{5,20}}{_B})(?=[a-z]*[0134][a-z]*[0134])[a-z]+[0134]+[a-z]+[a-z0-9]*{_B}"
+
+
+def holds(text: Column, literals: tuple[str, ...]) -> Column:
+    return reduce(or_, [text.contains(x) for x in literals])
+
+
 def _hits(text: Column, name: str, pattern: str) -> Column:
+    """Whether a rule hits; its pattern is only tried on texts that hold one of the rule's literals."""
+    lower = F.lower(text)
     if name == "OBFUSCATED_LEET_DENSITY":
-        words = F.regexp_extract_all(F.lower(text), F.lit(R.LEET_WORD.replace(r"\b", _B)), F.lit(0))
-        return F.exists(words, lambda w: w.rlike(R.LEET_TWICE) & w.rlike(R.LEET_FORM))
-    return text.rlike("(?i)" + pattern.replace(r"\b", _B))
+        hit = lower.rlike(DENSITY)
+    else:
+        hit = text.rlike("(?i)" + R.ascii_space(pattern).replace(r"\b", _B))
+    held = holds(lower, R.SCREENING_HOLDS[name]) if name in R.SCREENING_HOLDS else lower.rlike(R.SPACED_PIECE)
+    return held & hit
 
 
 def first_rule(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +16,11 @@ SPAN = "struct<start:int,negPriority:int,negLength:int,ord:int,end:int,type:stri
 _EMPTY = f"cast(array() as array<{SPAN}>)"
 
 
-def match_spans(text: Column, pattern: str, type_: str, priority: int, ord_: int, detector: str, keep=None) -> Column:
-    """All leftmost matches of one pattern as spans. The fold carries the position, so it is linear in the matches.
+def match_spans(text: Column, pattern: str, type_: str, priority: int, ord_: int, detector: str, keep=None, holds: tuple[str, ...] = ()) -> Column:
+    """All leftmost matches of one pattern as spans, in one fold that carries the position.
 
-    Candidates that ``keep`` turns down have still used up their text. Null text has no spans.
+    Candidates that ``keep`` turns down have still used up their text. Null text has no spans. ``holds`` are literals of
+    which every match holds one: the pattern is not tried on texts without them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -32,12 +36,15 @@ def match_spans(text: Column, pattern: str, type_: str, priority: int, ord_: int
         return F.struct((begin + size).alias("pos"), acc.alias("acc"))
 
     folded = F.aggregate(pieces, start, step, lambda a: a["acc"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.expr(_EMPTY))
+    hit = text.rlike(pattern)
+    if holds:
+        hit = reduce(or_, [text.contains(x) for x in holds]) & hit
+    return F.when(hit, folded).otherwise(F.expr(_EMPTY))
 
 
 def rule_spans(text: Column, which: list[int] | None = None) -> Column:
     """Findings of the pattern rules (all, or by position), in rule order; rules do not hide each other."""
-    parts = [match_spans(text, r.pattern, r.type, r.priority, i, "REGEX", CHECKS.get(r.check)) for i, r in enumerate(R.RULES) if which is None or i in which]
+    parts = [match_spans(text, r.pattern, r.type, r.priority, i, "REGEX", CHECKS.get(r.check), r.holds) for i, r in enumerate(R.RULES) if which is None or i in which]
     return F.concat(*parts)
 
 
@@ -60,8 +67,8 @@ def name_spans(text: Column, lexicon: list[str]) -> Column:
         acc = F.when(joins, F.concat(F.slice(a["acc"], F.lit(1), F.size(a["acc"]) - 1), span(begin))).when(is_name, F.concat(a["acc"], span(x["start"]))).otherwise(a["acc"])
         return F.struct(x["end"].alias("prev"), is_name.alias("open"), acc.alias("acc"))
 
-    # most texts hold no listed word at all, which one scan tells
-    any_name = text.rlike("(?:" + "|".join(sorted(lexicon)) + ")") if lexicon else F.lit(False)
+    # most texts hold no listed word at all, which plain searches tell
+    any_name = reduce(or_, [text.contains(w) for w in sorted(lexicon)]) if lexicon else F.lit(False)
     return F.when(any_name, F.aggregate(name_candidates(text), start, step, lambda a: a["acc"])).otherwise(F.expr(_EMPTY))
 
 
@@ -90,3 +97,9 @@ def rebuild(text: Column, spans: Column, replacement) -> Column:
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return (s1 < e2) & (s2 < e1)
+
+
+def exploded(df, array: Column, *keep, name: str = "s"):
+    """A row per element. An inner explode lets the optimizer infer a filter on the array's size and push it below the
+    projection that makes the array, which would then be computed twice; nulls of the outer form go afterwards."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

@@ -20,7 +20,7 @@ _SAFE = [f"{a} {b} {c}" for a in ("summarise", "translate", "explain", "draft",
 
 def training_rows(spark: SparkSession) -> DataFrame:
     """Rows of our own making, for tests and demonstrations."""
-    return spark.createDataFrame([(i, t, float(label)) for i, (t, label) in enumerate([(t, 1) for t in _ATTACKS] + [(t, 0) for t in _SAFE])], "id long, text string, label double")
+    return spark.createDataFrame([(i, t, float(label)) for i, (t, label) in enumerate([(t, 1) for t in _ATTACKS] + [(t, 0) for t in _SAFE])], "id long, text string, label double").coalesce(1)
 
 
 def features() -> Pipeline:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Vault
 from ..functions import rules as R
 from ..functions.crypto import TEST_KEY, placeholder
-from ..functions.spans import SPAN, name_spans, rebuild, resolve, rule_spans
+from ..functions.spans import SPAN, exploded, name_spans, rebuild, resolve, rule_spans
 from ..sources.tables import LEXICON
 
 
@@ -34,7 +34,7 @@ def with_spans(df: DataFrame, text_col: str = "text", lexicon=LEXICON, ner=None,
 
 def findings(df: DataFrame, id_col: str = "doc_id", spans_col: str = "spans") -> DataFrame:
     """One row per span: id, start, end, type, value, detector, priority, ord."""
-    return df.select(id_col, F.explode(spans_col).alias("s")).select(id_col, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.type", "s.value", "s.detector", (-F.col("s.negPriority")).alias("priority"), F.col("s.ord").alias("ord"))
+    return exploded(df, F.col(spans_col), id_col).select(id_col, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.type", "s.value", "s.detector", (-F.col("s.negPriority")).alias("priority"), F.col("s.ord").alias("ord"))
 
 
 def contested(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -64,10 +64,10 @@ def redact_with_capacity(df: DataFrame, id_col: str = "doc_id", session_col: str
     """
     df = df.withColumn("__clean", neutralise(F.coalesce(F.col(text_col), F.lit(""))))
     df = with_spans(df, "__clean", lexicon, None, which).withColumn("spans", resolve(F.col("spans")))
-    values = df.select(session_col, id_col, F.explode("spans").alias("s")).groupBy(session_col, F.col("s.type").alias("type"), F.col("s.value").alias("value")).agg(F.max(F.struct(id_col, F.col("s.start"))).alias("last"))
+    values = exploded(df, F.col("spans"), session_col, id_col).groupBy(session_col, F.col("s.type").alias("type"), F.col("s.value").alias("value")).agg(F.max(F.struct(id_col, F.col("s.start"))).alias("last"))
     rank = F.row_number().over(Window.partitionBy(session_col).orderBy(F.col("last").desc()))
     over = values.withColumn("__r", rank).where(F.col("__r") > cfg.max_values).select(F.col(session_col).alias("__s"), "type", "value")
-    beyond = df.select(id_col, session_col, F.explode("spans").alias("s")).join(over, (F.col(session_col) == F.col("__s")) & (F.col("s.type") == F.col("type")) & (F.col("s.value") == F.col("value")), "left_semi")
+    beyond = exploded(df, F.col("spans"), id_col, session_col).join(over, (F.col(session_col) == F.col("__s")) & (F.col("s.type") == F.col("type")) & (F.col("s.value") == F.col("value")), "left_semi")
     beyond = beyond.groupBy(F.col(id_col).alias("__i")).agg(F.collect_set(F.col("s.start")).alias("__over"))
     df = df.join(beyond, F.col(id_col) == F.col("__i"), "left").withColumn("__over", F.coalesce("__over", F.expr("cast(array() as array<int>)")))
     gone = lambda s: F.array_contains(F.col("__over"), s["start"])
@@ -78,7 +78,7 @@ def redact_with_capacity(df: DataFrame, id_col: str = "doc_id", session_col: str
 
 def vault(df: DataFrame, session_col: str = "session_id", cfg: Vault = Vault(), key: bytes = TEST_KEY) -> DataFrame:
     """(session_id, type, value, token): the reversible values of redacted rows. Sensitive; written only on request."""
-    rows = df.select(F.col(session_col).alias("session_id"), F.explode("spans").alias("s")).select("session_id", "s.type", "s.value").distinct()
+    rows = exploded(df, F.col("spans"), F.col(session_col).alias("session_id")).select("session_id", "s.type", "s.value").distinct()
     return rows.withColumn("token", placeholder(F.col("session_id"), F.col("type"), F.col("value"), key, cfg.letters))
 
 
@@ -120,7 +120,7 @@ def highest_severity(types: F.Column) -> F.Column:
 
 
 def counts_by_type(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return df.select(id_col, F.explode("spans.type").alias("type")).groupBy(id_col, "type").agg(F.count(F.lit(1)).alias("n"))
+    return exploded(df, F.col("spans.type"), id_col, name="type").groupBy(id_col, "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def summary(types: F.Column) -> F.Column:

@@ -11,6 +11,7 @@ from ..functions import noise as N
 from ..functions import rules as R
 from ..functions import screening as S
 from ..functions.crypto import TEST_KEY, prompt_fingerprint
+from ..functions.spans import exploded
 from ..operators import detection as D
 from ..operators import stateful as K
 
@@ -89,7 +90,7 @@ def retained(rows: DataFrame, now: F.Column, keep: str = "30 days") -> DataFrame
 
 
 def redactions_by_type(done: DataFrame) -> DataFrame:
-    return done.where(~F.col("verdict.attack")).select(F.explode("spans.type").alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return done.where(~F.col("verdict.attack")).transform(lambda d: exploded(d, F.col("spans.type"), name="type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def counters(done: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def screening_hits(text: str = "text") -> list[tuple[str, str]]:
         if name == "OBFUSCATED_LEET_DENSITY":
             out.append((name, f"len(list_filter(regexp_extract_all(lower({text}), {q(R.LEET_WORD)}), lambda w: regexp_matches(w, {q(R.LEET_TWICE)}) AND regexp_matches(w, {q(R.LEET_FORM)}))) > 0"))
         else:
-            out.append((name, f"regexp_matches({text}, {q('(?i)' + p)})"))
+            out.append((name, f"regexp_matches({text}, {q('(?i)' + R.ascii_space(p))})"))
     return out
 
 

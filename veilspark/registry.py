@@ -12,13 +12,13 @@ from .functions import noise as N
 from .functions import rules as R
 from .functions import screening as S
 from .functions.crypto import fingerprint, prompt_fingerprint
-from .functions.spans import name_candidates, name_spans, resolve
+from .functions.spans import exploded, name_candidates, name_spans, resolve
 from .functions.validators import is_aadhaar, is_card, is_ipv4, is_phone
 from .operators import detection as D
 from .operators import stateful as K
 from .plans import audit as A
 from .plans import oracle as O
-from .sources.tables import LEXICON, rejection, table
+from .sources.tables import LEXICON, rejection, spread, table
 from .sources.vectors import rows
 
 FLAGSHIP = "redact_documents"
@@ -38,8 +38,8 @@ def query(sql: str | None = None):
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundled documents and the hand-made texts."""
-    made = spark.createDataFrame(rows(), "doc_id long, text string")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(made)
+    made = spark.createDataFrame(rows(), "doc_id long, text string").coalesce(1)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(made)
 
 
 def _session(df: DataFrame) -> DataFrame:
@@ -81,14 +81,14 @@ def contested_spans(spark, sf_dir):
 @query(f"WITH {O.TEXTS}, found AS ({O.findings('texts')}), {O.RESOLVED} SELECT type, count(*) AS n FROM resolved GROUP BY type")
 def detect_counts_by_type(spark, sf_dir):
     found = D.with_spans(texts(spark, sf_dir)).withColumn("spans", resolve(F.col("spans")))
-    return found.select(F.explode("spans.type").alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return exploded(found, F.col("spans.type"), name="type").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH texts AS (SELECT doc_id, text FROM documents), found AS ({O.rule_findings('texts')} UNION ALL BY NAME {O.name_runs('texts')}), {O.RESOLVED}
 SELECT lang, source, type, count(*) AS n FROM resolved JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source, type)""")
 def detect_counts_by_lang_source(spark, sf_dir):
-    docs = D.with_spans(table(spark, sf_dir, "documents")).withColumn("spans", resolve(F.col("spans")))
-    return docs.select("lang", "source", F.explode("spans.type").alias("type")).rollup("lang", "source", "type").agg(F.count(F.lit(1)).alias("n"))
+    docs = D.with_spans(spread(table(spark, sf_dir, "documents"))).withColumn("spans", resolve(F.col("spans")))
+    return exploded(docs, F.col("spans.type"), "lang", "source", name="type").rollup("lang", "source", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CANDIDATES = "SELECT doc_id, unnest(regexp_extract_all(text, '[0-9](?:[0-9 .-]{5,22})[0-9]')) AS value FROM texts"
@@ -393,7 +393,7 @@ def audit_retention(spark, sf_dir):
 
 @query(f"SELECT {O.hmac('encode(text)')} AS fingerprint, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def fingerprint_repeats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(prompt_fingerprint(F.col("text")).alias("fingerprint"))
+    docs = spread(table(spark, sf_dir, "documents").select("text")).select(prompt_fingerprint(F.col("text")).alias("fingerprint"))
     return docs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 

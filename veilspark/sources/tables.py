@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 PROMPT = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("subject", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("text", T.StringType()), T.StructField("apply_noise", T.BooleanType())])
 
+#: Below so many bytes a core, a table is dealt anew.
+SPLIT_BYTES = 32 << 20
+
 #: Given and family names of our own choosing.
 LEXICON = (
     "Alice", "Amara", "Anders", "Bruno", "Carla", "Chen", "Deepika", "Diego", "Elena", "Fatima", "Garcia", "Greta",
@@ -21,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files have fewer row groups than that; large tables stay as they are read.
+
+    Text operators take far longer than the move of a table this small. Row groups are what a scan can be split by, and
+    files below one block seldom have several, so the files' size decides.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def prompts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Prompt rows of a fixed schema; ``apply_noise`` defaults to true."""
     return spark.read.schema(PROMPT).format(fmt).load(path).withColumn("apply_noise", F.coalesce("apply_noise", F.lit(True)))
