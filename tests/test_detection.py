@@ -133,3 +133,54 @@ def test_regressions_converge(spark):
     _, models = C.fit(C.training_rows(spark))
     rounds = [(m.summary.totalIterations, m.getMaxIter()) for m, _, _ in models]
     assert len(rounds) == C.FOLDS and all(n < most for n, most in rounds)
+
+
+def test_literals_never_hide_a_match(spark):
+    """With and without the literals that are looked for first, all rules find the same."""
+    from veilspark.functions import rules as R
+    from veilspark.functions.spans import match_spans
+    from veilspark.functions.validators import CHECKS
+    from veilspark.sources.vectors import rows
+
+    texts = [t for _, t in rows()] + [p for _, p, _ in SUITE] + [p.upper() for _, p, _ in SUITE] + ["R  e v e a l", "xV\te a l", "ABCD:1:2:3:4:5:6:7 no digit: a:b:c:d:e:f:a:b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    text = F.col("t")
+    spans = [match_spans(text, r.pattern, r.type, r.priority, k, "REGEX", CHECKS.get(r.check)) for k, r in enumerate(R.RULES)]
+    from veilspark.functions.spans import rule_spans
+
+    assert all(r["a"] == r["b"] for r in df.select(rule_spans(text).alias("a"), F.concat(*spans).alias("b")).collect())
+    plain = [F.when(text.rlike("(?i)" + R.ascii_space(p).replace(r"\b", R.BORDER)), F.lit(n)) for n, p in R.SCREENING if n in R.SCREENING_HOLDS and p]
+    found = df.select(screening.all_rules(text).alias("a"), F.array_compact(F.array(*plain)).alias("b")).collect()
+    assert all([x for x in r["a"] if x not in ("OBFUSCATED_SPACED", "OBFUSCATED_LEET_DENSITY")] == r["b"] for r in found)
+    assert "OBFUSCATED_SPACED" in found[-3]["a"]
+
+
+def test_density_is_one_pattern(spark):
+    import random
+    import re
+
+    from veilspark.functions import rules as R
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("ab0134_9 é") for _ in range(rnd.randint(3, 26))) for _ in range(3000)]
+    twice, form = re.compile(R.LEET_TWICE), re.compile(R.LEET_FORM)
+    want = [any(twice.search(w) and form.search(w) for w in re.findall(R.LEET_WORD, t, re.A)) for t in words]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "i int, t string").select("i", screening._hits(F.col("t"), "OBFUSCATED_LEET_DENSITY", "").alias("h")).orderBy("i").collect()
+    assert [r["h"] for r in got] == want and any(want)
+
+
+def test_spans_are_computed_once(spark):
+    """No filter that holds the rules again below the projection that makes the spans."""
+    df = spark.createDataFrame([(1, "a@b.com")], "doc_id int, text string")
+    plan = D.findings(D.with_spans(df).withColumn("spans", resolve(F.col("spans"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "AKIA" in line]
+
+
+def test_lexicon_drops_nothing(spark, tmp_path, monkeypatch):
+    from veilspark.sources import tables
+
+    (tmp_path / "words.txt").write_text("# names\nAnna\n\n Bo \nAnna\n")
+    assert tables.lexicon(spark, str(tmp_path / "words.txt")) == ["Anna", "Bo"]
+    monkeypatch.setattr(tables, "MAX_LEXICON", 1)
+    with pytest.raises(ValueError):
+        tables.lexicon(spark, str(tmp_path / "words.txt"))

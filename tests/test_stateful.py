@@ -63,3 +63,51 @@ def test_flow(spark):
     assert by["s2"]["outcome"] == "BLOCKED" and by["s2"]["redacted_prompt"] is None and by["s3"]["prompt_fingerprint"] == ""
     out = {r["session_id"]: r for r in A.respond(done.withColumn("output", F.col("outbound"))).collect()}
     assert "a@b.com" in out["s1"]["restored"] and "s2" not in out
+
+
+def test_flow_capacity_switch_and_budget(spark):
+    from veilspark.config import Settings
+
+    rows = [("s", "u", T0, "a@x.org b@x.org c@x.org total 4500000", True), ("t", "u", T0 + timedelta(seconds=1), "total 7500000", True), ("v", "w", T0, "total 9500000", False)]
+    prompts = spark.createDataFrame(rows, "session_id string, subject string, ts timestamp, text string, apply_noise boolean")
+    done = A.process(prompts, Settings(vault=Vault(max_values=2), noise=Noise(budget=0.5)))
+    got = {r["session_id"]: r for r in done.collect()}
+    assert got["s"]["truncated"] and got["s"]["redacted"].count("[EMAIL_REDACTED]") == 1 and got["s"]["issued"] == 2
+    assert got["s"]["noise_skipped_reason"] is None and got["t"]["noise_skipped_reason"] == "budget" and got["v"]["noise_skipped_reason"] == "opted out"
+    assert got["t"]["outbound"] == "total 7500000"
+    warned = {r["session_id"]: r["warnings"] for r in A.respond(done.withColumn("output", F.col("outbound"))).collect()}
+    assert warned["s"][0].startswith("capacity") and warned["t"][0].startswith("budget")
+    held = {r["session_id"]: r for r in A.process(prompts, Settings(noise=Noise(budget=0.5, fail_closed=True))).collect()}
+    assert held["t"]["outbound"] is None
+    off = A.process(prompts, Settings(noise=Noise(enabled=False))).collect()
+    assert {r["noised"] for r in off} == {0} and {r["noise_skipped_reason"] for r in off if r["session_id"] != "v"} == {"disabled"}
+
+
+def test_flow_of_several_prompts_of_a_session(spark):
+    rows = [(i, "s", "u", T0 + timedelta(seconds=i), f"mail a{i}@b.com total {i}500000", True) for i in range(1, 4)]
+    prompts = spark.createDataFrame(rows, "prompt_id long, session_id string, subject string, ts timestamp, text string, apply_noise boolean")
+    done = A.process(prompts, id_col="prompt_id")
+    back = A.respond(done.withColumn("output", F.col("redacted")), id_col="prompt_id").collect()
+    assert sorted((r["prompt_id"], r["restored"]) for r in back) == [(i, t) for i, _, _, _, t, _ in rows]
+
+
+def test_late_rows_refill_nothing():
+    import pandas as pd
+
+    class State:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+    bucket = S.TokenBucket(RateLimit(1, 60))
+    bucket.state = State()
+    take = lambda us: next(bucket.handleInputRows(("c",), iter([pd.DataFrame({"us": us, "event_id": range(len(us))})]), None))["admitted"].tolist()
+    assert take([10_000_000]) == [True] and take([1_000_000]) == [False]
+    assert bucket.state.get()[1] == 10_000_000 and take([11_000_000]) == [True]

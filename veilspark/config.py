@@ -22,6 +22,9 @@ class Noise:
     year_ceiling: int = 2100
     budget: float = 5.0
     idle_reset_hours: int = 24
+    #: The kill switch, and whether a spent budget holds a text back instead of sending its numbers as they are.
+    enabled: bool = True
+    fail_closed: bool = False
 
     def __post_init__(self) -> None:
         _positive(epsilon=self.epsilon, relative_sensitivity=self.relative_sensitivity, absolute_sensitivity=self.absolute_sensitivity, budget=self.budget, idle_reset_hours=self.idle_reset_hours)

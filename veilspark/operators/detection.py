@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +57,17 @@ def redact(df: DataFrame, id_col: str = "doc_id", session_col: str = "session_id
     return df.withColumn("redacted", rebuild(F.col("__clean"), F.col("spans"), token)).withColumn("issued", F.size("spans")).withColumn("truncated", F.lit(False)).drop("__clean")
 
 
-def redact_with_capacity(df: DataFrame, id_col: str = "doc_id", session_col: str = "session_id", text_col: str = "text", lexicon=LEXICON, cfg: Vault = Vault(), key: bytes = TEST_KEY, which: list[int] | None = None) -> DataFrame:
+def redact_with_capacity(df: DataFrame, id_col: str = "doc_id", session_col: str = "session_id", text_col: str = "text", lexicon=LEXICON, cfg: Vault = Vault(), key: bytes = TEST_KEY, which: list[int] | None = None, storage: StorageLevel | None = None) -> DataFrame:
     """As :func:`redact`, with at most ``cfg.max_values`` distinct values of a session reversible.
 
     Within a text substitution goes from right to left, so the values that occur last are the ones that fit; texts of a
     session count by descending id. Other values become ``[TYPE_REDACTED]``. One shuffle of distinct values by session.
+    Spans are used three times; with ``storage`` they are kept at that level.
     """
     df = df.withColumn("__clean", neutralise(F.coalesce(F.col(text_col), F.lit(""))))
     df = with_spans(df, "__clean", lexicon, None, which).withColumn("spans", resolve(F.col("spans")))
+    if storage is not None:
+        df = df.persist(storage)
     values = exploded(df, F.col("spans"), session_col, id_col).groupBy(session_col, F.col("s.type").alias("type"), F.col("s.value").alias("value")).agg(F.max(F.struct(id_col, F.col("s.start"))).alias("last"))
     rank = F.row_number().over(Window.partitionBy(session_col).orderBy(F.col("last").desc()))
     over = values.withColumn("__r", rank).where(F.col("__r") > cfg.max_values).select(F.col(session_col).alias("__s"), "type", "value")

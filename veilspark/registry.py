@@ -207,7 +207,7 @@ def validation_rejects(spark, sf_dir):
 _NUMBER_RE2 = r"(?:^|[^A-Za-z0-9_.])(-?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?)\b"
 
 
-@query(f"""WITH {O.TEXTS}, o AS (SELECT doc_id, text FROM texts WHERE doc_id < 0 UNION ALL SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || o_custkey || ' total ' || printf('%.2f', o_totalprice) FROM orders),
+@query(f"""WITH {O.TEXTS}, o AS (SELECT doc_id, text FROM texts UNION ALL SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || o_custkey || ' total ' || printf('%.2f', o_totalprice) FROM orders),
 n AS (SELECT doc_id, unnest(regexp_extract_all(text, {O.q(_NUMBER_RE2)}, 1)) AS literal FROM o)
 SELECT doc_id, literal, abs(replace(literal, ',', '')::DOUBLE) >= 1000 AND NOT (length(literal) = 4 AND NOT regexp_matches(literal, '[.,]') AND replace(literal, ',', '')::DOUBLE BETWEEN 1900 AND 2100) AS eligible FROM n""")
 def eligible_numbers(spark, sf_dir):
@@ -339,7 +339,11 @@ def vault_sessions(spark, sf_dir):
     return K.sessions(table(spark, sf_dir, "events"), "user_id", "ts", Vault(ttl_minutes=720))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_type, event_id, floor(epoch_us(ts) / 1000000)::BIGINT AS s, event_id % 3 <> 0 AS failed, row_number() OVER (PARTITION BY event_type ORDER BY floor(epoch_us(ts) / 1000000), event_id) AS k FROM events),
+b AS (SELECT event_type, event_id, k, 0::BIGINT AS fails, 0::BIGINT AS since, true AS called FROM (SELECT DISTINCT event_type, NULL::BIGINT AS event_id, 0::BIGINT AS k FROM events)
+UNION ALL SELECT o.event_type, o.event_id, o.k, CASE WHEN NOT c.called THEN b.fails WHEN o.failed THEN b.fails + 1 ELSE 0 END, CASE WHEN c.called AND o.failed THEN o.s ELSE b.since END, c.called
+FROM b JOIN o ON o.event_type = b.event_type AND o.k = b.k + 1, LATERAL (SELECT b.fails < 3 OR o.s - b.since >= 30 AS called) c)
+SELECT event_type AS "key", event_id, called, fails >= 3 AS open FROM b WHERE k > 0""")
 def breaker_states(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("failed", F.pmod("event_id", F.lit(3)) != 0)
     return K.breaker_states(events, "event_type", "ts", "event_id", "failed")
@@ -412,6 +416,44 @@ def latency_summary(spark, sf_dir):
     return A.latency(table(spark, sf_dir, "events").where("value is not null"), "event_type", F.abs("value")).withColumn("purchases", F.when(F.col("event_type") == "purchase", F.col("n")).otherwise(F.lit(0)))
 
 
+@query("SELECT event_type, count(*) AS n, quantile_disc(abs(value), 0.5) AS p50, quantile_disc(abs(value), 0.95) AS p95, quantile_disc(abs(value), 0.99) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    return A.percentiles(table(spark, sf_dir, "events").select("event_type", F.abs("value").alias("value")), "event_type", "value")
+
+
+@query(f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM events),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), e AS (SELECT user_id, max(ts) + INTERVAL 12 HOUR AS expires FROM s GROUP BY user_id, k)
+SELECT count(*) AS active FROM e WHERE expires > (SELECT max(ts) FROM events)""")
+def active_sessions(spark, sf_dir):
+    """Vault sessions that are open at the time of the last event."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    return K.sessions(events, "user_id", "ts", Vault(ttl_minutes=720)).join(F.broadcast(now)).where("expires > now").agg(F.count(F.lit(1)).alias("active"))
+
+
+_FORWARDED = [(" 1.2.3.4 , 5.6.7.8", "r1"), (None, "r2"), ("x" * 46, "r3"), ("x" * 45, "r4"), ("", "r5"), (" , 9.9.9.9", "r6"), ("10.0.0.1", None)]
+
+
+@query(f"""WITH f AS (SELECT forwarded, remote, trim(split_part(forwarded, ',', 1)) AS hop FROM {O.values(_FORWARDED, 'forwarded, remote')})
+SELECT remote, CASE WHEN length(hop) BETWEEN 1 AND 45 THEN hop ELSE remote END AS client, CASE WHEN length(hop) > 0 THEN hop ELSE remote END AS subject FROM f""")
+def client_keys(spark, sf_dir):
+    """The keys of admission and of the budget from forwarded and remote addresses."""
+    rows_ = spark.createDataFrame(_FORWARDED, "forwarded string, remote string")
+    return rows_.select("remote", K.client_key(F.col("forwarded"), F.col("remote")).alias("client"), K.budget_subject(F.col("forwarded"), F.col("remote")).alias("subject"))
+
+
+@query("SELECT false AS classifier, false AS ner, true AS rules")
+def health_snapshot(spark, sf_dir):
+    return A.health(spark, False, False)
+
+
+@query()
+def flow_counters(spark, sf_dir):
+    """The seven counters of the whole flow, the model echoing what it is sent."""
+    done = A.process(_prompts(spark, sf_dir)).withColumn("output", F.col("outbound"))
+    return A.counters(done, A.respond(done))
+
+
 @query(f"WITH {O.TEXTS}, v AS (SELECT {O.first_rule('text')} AS r FROM texts) SELECT count(*) AS total, count(*) FILTER (r IS NOT NULL) AS attacks, {len(R.RULES)} AS pattern_rules, {len(R.SCREENING)} AS threat_rules, {len(LEXICON)} AS lexicon_size FROM v")
 def status_snapshot(spark, sf_dir):
     return A.status(A.process(_prompts(spark, sf_dir)), len(LEXICON))

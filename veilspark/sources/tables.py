@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 PROMPT = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("subject", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("text", T.StringType()), T.StructField("apply_noise", T.BooleanType())])
 
+MAX_LEXICON = 100_000
 #: Below so many bytes a core, a table is dealt anew.
 SPLIT_BYTES = 32 << 20
 
@@ -46,9 +47,15 @@ def stream_prompts(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
 
 
 def lexicon(spark: SparkSession, path: str) -> list[str]:
-    """Words of a text file, one a line; blank lines and ``#`` comments are skipped. For lists that fit a literal."""
+    """Words of a text file, one a line; blank lines and ``#`` comments are skipped.
+
+    For lists that fit a literal: more than ``MAX_LEXICON`` words are an error, none is dropped.
+    """
     rows = spark.read.text(path).select(F.trim("value").alias("w")).where("w <> '' and not startswith(w, '#')").distinct()
-    return sorted(r["w"] for r in rows.limit(100_001).collect())
+    words = [r["w"] for r in rows.limit(MAX_LEXICON + 1).collect()]
+    if len(words) > MAX_LEXICON:
+        raise ValueError(f"a lexicon has at most {MAX_LEXICON} words")
+    return sorted(words)
 
 
 def rejection(text: F.Column, limit: int = 10_000) -> F.Column:

@@ -15,22 +15,23 @@ UNIT = 60_000_000
 
 
 class TokenBucket(StatefulProcessor):
-    """Two numbers of state per client; idle state expires once the bucket would be full anyway."""
+    """Two numbers of state per client; idle state expires after ten minutes, or later, when the bucket is full anyway."""
 
     def __init__(self, cfg: RateLimit):
         self.cap, self.rate = int(cfg.capacity * UNIT), cfg.per_minute
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "level long, last long")
+        # an idle bucket is full again by then, so that dropping it changes no answer
+        self.state = handle.getValueState("bucket", "level long, last long", int(60_000 * max(10, self.cap / UNIT / self.rate)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
         level, last = self.state.get() if self.state.exists() else (self.cap, None)
         admitted = []
         for us in frame["us"].tolist():
-            if last is not None:
-                level = min(self.cap, level + int((us - last) * self.rate))
-            last = us
+            if last is not None:  # a row older than the last one refills nothing and leaves the clock alone
+                level = min(self.cap, level + int(max(us - last, 0) * self.rate))
+            last = us if last is None else max(us, last)
             admitted.append(level >= UNIT)
             level -= UNIT * (level >= UNIT)
         self.state.update((int(level), int(last)))
@@ -55,7 +56,7 @@ class Ledger(StatefulProcessor):
         self.budget, self.idle = cfg.budget, cfg.idle_reset_hours * 3600 * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ledger", "spent double, last long")
+        self.state = handle.getValueState("ledger", "spent double, last long", self.idle // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
@@ -64,7 +65,7 @@ class Ledger(StatefulProcessor):
         for us, cost in zip(frame["us"].tolist(), frame["cost"].tolist(), strict=True):
             if last is not None and us - last >= self.idle:
                 spent = 0.0
-            last = us
+            last = us if last is None else max(us, last)
             allowed.append(self.budget - spent > 0)
             spent += cost if allowed[-1] else 0.0
         self.state.update((float(spent), int(last)))
