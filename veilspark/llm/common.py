@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows and bytes of an Arrow batch, the same for all operators, as the settings belong to the session.
-BATCH_ROWS = 512
+BATCH_ROWS = 1024
 BATCH_BYTES = 4 << 20
 
 

@@ -36,7 +36,7 @@ READ_IDS = 1 << 18
 IMAGE_IDS = 1 << 20
 NO_ID = -(1 << 63)
 #: Pieces that each half of a worker's memory holds; the older half makes room.
-MEMORY = 100_000
+MEMORY = 400_000
 #: A row per image; ``inner`` counts the ids of the range's images before it.
 IMAGES = "bucket int, image long, inner long, n_docs long, n_ids long, data binary"
 
