@@ -362,3 +362,33 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / f"s{k}"))
         docs = spark.read.parquet(str(tmp_path / f"s{k}"))
     assert docs.count() > 0
+
+
+def test_long_and_null_ids_stay_apart(spark):
+    """Ids that a double cannot hold, beside null."""
+    from veilspark.llm.fingerprint import neighbour_fingerprints
+    from veilspark.llm.html_wrappers import extract_main_text
+    from veilspark.llm.mixing import mix_sources, mixture
+    from veilspark.llm.ngram_join import drop_linked, ngram_components
+
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, 5, 5]
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, f"{words} end {k}" if k < 3 else f"other text {k} of its own", "s") for k, i in enumerate(ids)], "doc_id long, text string, source string").coalesce(1)
+    some = sorted(ids, key=str)
+    assert sorted((r["doc_id"] for r in neighbour_fingerprints(docs).collect()), key=str) == some
+    pages = docs.select(docs.doc_id.alias("page_id"), docs.source.alias("url"), docs.text.alias("html"))
+    assert sorted((r["page_id"] for r in extract_main_text(pages).collect()), key=str) == some
+    groups = ngram_components(docs).collect()
+    assert sorted((r["doc_id"] for r in groups), key=str) == some and {r["component_id"] for r in groups if r["n_shingles"] > 30} == {ids[0]}
+    assert sorted((r["doc_id"], r["text"][:5]) for r in drop_linked(docs).collect()) == [(5, "other"), (5, "other"), (ids[0], "w0 w1")]
+    assert mixture(docs).count() == sum(r["servings"] for r in mix_sources(docs).collect())
+
+
+def test_every_part_of_a_mix_keeps_the_shares(spark):
+    from veilspark.llm.mixing import mixture
+
+    docs = spark.createDataFrame([(i, "a b c d e", "xyz"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
+    order = [r["source"] for r in mixture(docs).collect()]
+    for part in (order[: len(order) // 4], order[-len(order) // 4 :]):
+        for s in "xyz":
+            assert abs(part.count(s) / len(part) - order.count(s) / len(order)) < 0.05
