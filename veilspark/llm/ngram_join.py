@@ -237,19 +237,24 @@ def unresolved(places: DataFrame, nodes: DataFrame, found: DataFrame | None, sal
 
     ``rows`` has each posting's component and level; ``blocks`` has per token its rows, the rows outside its main
     component, and representatives of that: for each of ``HEADS`` orders the first member of the highest level. The main
-    component is the largest one; of equal ones, which all are at first, that of the first representative.
+    component is the largest one; of equal ones, which all are at first, that of the first representative. Blocks within
+    one component are left out before anything else moves: components only grow, so the next round needs no more than
+    ``rows`` either.
     """
-    if found is not None:
-        nodes = nodes.join(found.withColumnRenamed("node", "cid"), "cid", "left")
-    else:
-        nodes = nodes.withColumn("component", F.col("cid"))
-    rows = places.join(nodes.select("cid", "level", F.coalesce("component", "cid").alias("component")), "cid")
-    heads = [f"h{k}" for k in range(1 if found is None else HEADS)]
     rank = lambda k: F.shiftleft(F.col("level").cast("long"), SHORT).bitwiseOR(_short(F.col("cid")).bitwiseXOR(_mask(salt + k)))
+    known = lambda h, k: F.col(h).bitwiseAND(F.lit((1 << SHORT) - 1)).bitwiseXOR(_mask(salt + k))
+    if found is None:  # each class is a component of its own, and each block has several
+        rows = places.join(nodes.select("cid", "level"), "cid").withColumn("component", F.col("cid"))
+        first = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct(rank(0).alias("h"), "cid")).alias("m"))
+        return rows, first.select("token", "rows", (F.col("rows") - 1).alias("outside"), F.col("m.cid").alias("main"), F.array(known("m.h", 0)).alias("heads"))
+    nodes = nodes.join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    rows = places.join(nodes.select("cid", "level", F.coalesce("component", "cid").alias("component")), "cid")
+    several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    rows = materialize(rows.join(several, "token", "left_semi"), "unresolved")
+    heads = [f"h{k}" for k in range(HEADS)]
     parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), *[F.max(rank(k)).alias(h) for k, h in enumerate(heads)])
-    blocks = parts.groupBy("token").agg(F.count(F.lit(1)).alias("several"), F.sum("k").alias("rows"), F.max(F.struct("k", *heads, "component")).alias("main")).where("several > 1")
-    known = [F.col(f"main.{h}").bitwiseAND(F.lit((1 << SHORT) - 1)).bitwiseXOR(_mask(salt + k)) for k, h in enumerate(heads)]
-    return rows, blocks.select("token", "rows", (F.col("rows") - F.col("main.k")).alias("outside"), F.col("main.component").alias("main"), F.array_distinct(F.array(*known)).alias("heads"))
+    blocks = parts.groupBy("token").agg(F.sum("k").alias("rows"), F.max(F.struct("k", *heads, "component")).alias("main"))
+    return rows, blocks.select("token", "rows", (F.col("rows") - F.col("main.k")).alias("outside"), F.col("main.component").alias("main"), F.array_distinct(F.array(*[known(f"main.{h}", k) for k, h in enumerate(heads)])).alias("heads"))
 
 
 def proposals(rows: DataFrame, blocks: DataFrame, nodes: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -431,6 +436,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = links = tested = None
     for k in range(ROUNDS + 1):
         rows, blocks = unresolved(places, nodes, found, HEADS * k)
+        places = rows.select(*places.columns)
         if k < ROUNDS:
             pairs = materialize(proposals(rows, blocks, nodes, tested), "pairs")
         else:
