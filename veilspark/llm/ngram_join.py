@@ -151,6 +151,18 @@ def levels(described: DataFrame) -> np.ndarray:
 POSTING = np.dtype([("token", "<u4"), ("n", "<i4"), ("pos", "<i4"), ("cid", "<i8")])
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """The rows' number, then their bytes, all first bytes first: small numbers leave long runs of zeros."""
+    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.itemsize).T
+    return len(rows).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], n * POSTING.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(POSTING.itemsize, n).T).view(POSTING).ravel()
+
+
 def postings(docs: DataFrame, level, buckets: int) -> DataFrame:
     """Pass 2: (bucket, data) rows of packed prefix postings; a class is sent once per task."""
 
@@ -166,7 +178,7 @@ def postings(docs: DataFrame, level, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([p.tobytes() for p in np.split(rows, cuts[1:])], pa.binary())], names=["bucket", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([_pack(p) for p in np.split(rows, cuts[1:])], pa.binary())], names=["bucket", "data"])
 
         for rows in _rows(batches):
             for s in _sets([t for (t,) in rows]):
@@ -192,7 +204,7 @@ def shared(packed: DataFrame) -> DataFrame:
     """(token, cid, n, pos): the postings of shingles that at least two classes have."""
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.unique(np.frombuffer(b"".join(frame["data"]), POSTING))
+        rows = np.unique(np.concatenate([_unpack(d) for d in frame["data"]]))
         rows = rows[np.lexsort((rows["cid"], rows["token"]))]
         new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
         block = np.cumsum(new) - 1
