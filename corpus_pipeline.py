@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.bpe import bpe_encode, ids_digest
-from veilspark.llm.common import free_name, materialize, python_operators, table
+from veilspark.llm.common import discard, free_name, materialize, python_operators, table
 from veilspark.llm.exact_dedup import drop_copies
 from veilspark.llm.mixing import mixture
 from veilspark.llm.ngram_join import drop_linked
@@ -63,9 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each stage's result written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}")
+            before, docs = kept, materialize(docs, f"pipeline-{name}")
+            kept = docs
+            discard(before)
     return docs

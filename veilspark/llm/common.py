@@ -23,12 +23,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
 
 
+#: Lets Spark delete the shuffle files of a SQL execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The write's shuffle files go with its end, as later plans read the table instead; otherwise they stay until the driver
+    happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/veilspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    vars(out)["scratch_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` returned and that no later plan reads; anything else is left alone."""
+    for t in tables:
+        if t is not None and (path := vars(t).get("scratch_path")):
+            context = t.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Rows and bytes of an Arrow batch, the same for all operators, as the settings belong to the session.

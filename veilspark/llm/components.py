@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable from each node that has a link; self-links and repeats are allowed.
 
-    Each round points nodes at the least neighbour seen so far; long paths shorten by powers. Every round is written to
-    the shared folder. A node with many links is only ever reduced by ``min``, which combines before the shuffle.
+    Each round points nodes at the least neighbour seen so far; long paths shorten by powers. Every round, and the result,
+    is written to the shared folder; earlier rounds are deleted. A node with many links is only ever reduced by ``min``, which combines before the shuffle.
     Null nodes have no links. An empty table gives an empty result.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
@@ -26,8 +26,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         following = materialize(small, "edges")
         same = following.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
         was = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
+        discard(edges)
         edges = following
         if same == was:
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    found = materialize(found, "components")
+    discard(edges)
+    return found

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, trimmed
+from .common import discard, materialize, shuffle_partitions, trimmed
 from .components import connected_components
 from .hashing import mix64, word_hashes, word_shingles
 
@@ -393,7 +393,7 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by comparing whole sets.
+    """The pairs (a, b) that link, by comparing whole sets, as a table in the shared folder.
 
     The pairs of one ``b`` are a star: its members meet it in groups of about ``STAR``, to which texts are sent, a text
     once per group. The looked-up rows are counted first: few are broadcast to the documents, many are joined by shuffle.
@@ -422,7 +422,9 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                         b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
 
-    return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
+    linked = materialize(rows.mapInArrow(trimmed(run), "a long, b long").distinct(), "links")
+    discard(wanted)
+    return linked
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,19 +448,28 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = materialize(shared(postings(docs, level, buckets)), "postings")
     nodes = materialize(nodes_of(places), "nodes")
     found = links = tested = None
+    held, done = places, [nodes]
     for k in range(ROUNDS + 1):
         rows, blocks = unresolved(places, nodes, found, HEADS * k)
+        if k:  # a table of its own, which replaces the one it was made from
+            discard(held)
+            held = rows
         places = rows.select(*places.columns)
         if k < ROUNDS:
             pairs = materialize(proposals(rows, blocks, nodes, tested), "pairs")
         else:
-            pairs = survivors(products(rows, materialize(blocks, "blocks"), buckets))
+            blocks = materialize(blocks, "blocks")
+            pairs = survivors(products(rows, blocks, buckets))
             pairs = materialize(_untested(pairs, tested), "pairs")
+            discard(held, blocks)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        made = materialize(verify(pairs, docs, classes), "links")
+        made = verify(pairs, docs, classes)
         links = made if links is None else links.unionByName(made)
+        done += [pairs, made]
         if k == 0 or not made.isEmpty():
-            found = materialize(connected_components(links), "components")
+            earlier, found = found, connected_components(links)
+            discard(earlier)
+    discard(*done)  # what follows reads only the descriptions and the components
     by_class = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component"))
     least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     verdict = by_class.join(least, "component").select("cid", F.col("doc_id").alias("class_id"), "component_id", F.col("component").alias("group_id"))
