@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from veilspark.llm import common
-from veilspark.llm.common import python_operators
+from veilspark.llm.common import LOCAL_SCRATCH, python_operators, scratch_dir
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, bucket string, h string"
@@ -18,7 +18,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, buck
 
 @pytest.fixture(autouse=True)
 def scratch(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "LOCAL_SCRATCH", str(tmp_path))
+    monkeypatch.setattr(common, "scratch_dir", lambda _: str(tmp_path))
     python_operators(spark)
 
 
@@ -392,3 +392,32 @@ def test_every_part_of_a_mix_keeps_the_shares(spark):
     for part in (order[: len(order) // 4], order[-len(order) // 4 :]):
         for s in "xyz":
             assert abs(part.count(s) / len(part) - order.count(s) / len(order)) < 0.05
+
+
+def test_tables_that_nothing_reads_again_go(spark, tmp_path):
+    from veilspark.llm.ngram_join import ngram_components
+
+    before = spark.conf.get(common.CLEANUP)
+    kept, gone = (common.materialize(spark.range(5), n) for n in ("kept", "gone"))
+    common.discard(gone, None, spark.range(1))
+    assert spark.conf.get(common.CLEANUP) == before
+    assert kept.count() == 5 and [p.name[:4] for p in (tmp_path / "veilspark").iterdir()] == ["kept"]
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"]), "other words than those of the rest", None]
+    found = ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    left = {p.name.split("-")[0] for p in (tmp_path / "veilspark").iterdir()}
+    assert left == {"kept", "described", "components"}
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, **conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert scratch_dir(session("local[2]")) == LOCAL_SCRATCH
+    assert scratch_dir(session("spark://host:1", **{"spark.checkpoint.dir": "/shared"})) == "/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(session("spark://host:1"))

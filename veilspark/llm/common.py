@@ -19,8 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    """The shared folder for cut lineage: ``spark.checkpoint.dir``; where that is unset, a local folder in local mode, and an
+    error on a cluster, whose machines share no such folder."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_SCRATCH
 
 
 #: Lets Spark delete the shuffle files of a SQL execution when it ends.
