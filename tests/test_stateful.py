@@ -1,3 +1,5 @@
+import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -38,6 +40,38 @@ def test_breaker(spark):
     assert [r["called"] for r in out] == [True, True, True, False, True] and [r["open"] for r in out] == [False, False, True, True, False]
 
 
+def _folded(rows, limit=3, seconds=30):
+    """{event_id: (called, open)} by a plain fold over (event_id, client, ts, failed) in the SQL's order, nulls last."""
+    out, state = {}, {}
+    for i, c, t, bad in sorted(rows, key=lambda r: (r[2] is None, r[2].replace(microsecond=0) if r[2] else T0, r[0])):
+        fails, since = state.get(c, (0, None))
+        called = fails < limit or (None if t is None else (t.replace(microsecond=0) - since).total_seconds() >= seconds)
+        if called is not False:
+            fails = fails + 1 if bad else 0
+        state[c] = (fails, t.replace(microsecond=0) if called and bad and t else since)
+        out[i] = (called, fails >= limit)
+    return out
+
+
+def test_breaker_in_chunks(spark):
+    """A key's rows fall into many chunks; each goes on where the one before ends, whatever the state is there."""
+    pick = random.Random(5)
+    for span, often in ((300, 0.9), (9000, 0.6), (40, 1.0)):
+        rows = [(i, pick.choice("aab"), T0 + timedelta(seconds=pick.uniform(0, span)) if i % 50 else None, pick.random() < often) for i in range(600)]
+        df = spark.createDataFrame(rows, "event_id long, client string, ts timestamp, failed boolean").repartition(3)
+        out = K.breaker_states(df, "client", "ts", "event_id", "failed", chunk_rows=40)
+        assert out.rdd.getNumPartitions() == 4
+        assert {r["event_id"]: (r["called"], r["open"]) for r in out.collect()} == _folded(rows)
+
+
+def test_breaker_of_a_large_key(spark):
+    """A fold that copies what it has for each row takes minutes here."""
+    rows = spark.range(0, 200_000, 1, 4).select(F.lit("a").alias("client"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 4)).alias("ts"), (F.pmod(F.col("id"), F.lit(3)) != 0).alias("failed"))
+    began = time.monotonic()
+    called = K.breaker_states(rows, "client", "ts", "event_id", "failed").where("called").count()
+    assert 0 < called <= 200_000 and time.monotonic() - began < 60
+
+
 def test_client_key(spark):
     r = spark.createDataFrame([(" 1.2.3.4 , 5", "r"), (None, "r"), ("x" * 50, "r")], "f string, r string").select(K.client_key(F.col("f"), F.col("r")).alias("k")).collect()
     assert [x["k"] for x in r] == ["1.2.3.4", "r", "r"]
