@@ -421,3 +421,20 @@ def test_a_cluster_needs_a_shared_folder():
     assert scratch_dir(session("spark://host:1", **{"spark.checkpoint.dir": "/shared"})) == "/shared"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_dir(session("spark://host:1"))
+
+
+def test_word_hashes_take_little_memory():
+    """The running sums cover a slice of the texts, and a text's words are the same wherever it lies."""
+    import tracemalloc
+
+    from veilspark.llm.hashing import word_hashes
+
+    texts = [f"word{k} and others\n" * 100 for k in range(2000)] + ["", " ", "x" * 200_000, "Last \ud800"]
+    tracemalloc.start()
+    offsets, hashes = word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert np.diff(offsets).tolist() == [300] * 2000 + [0, 0, 1, 2]
+    for i in (0, 7, 1999, 2003):
+        assert np.array_equal(hashes[offsets[i] : offsets[i + 1]], word_hashes([texts[i]])[1])

@@ -61,7 +61,10 @@ WIDTH = 1 << FEATURE_BITS
 
 def columns(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, distinct feature columns) of each text."""
-    offsets, hashes = word_hashes(_clean(texts))
+    return _distinct(*word_hashes(_clean(texts)))
+
+
+def _distinct(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cols = (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
     parts = [np.unique(cols[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     return np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.concatenate(parts) if parts else cols[:0]
@@ -80,8 +83,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int, id_col: st
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].tolist()
-            offsets, cols = columns(texts)
             word_at, hashes = word_hashes(_clean(texts))
+            offsets, cols = _distinct(word_at, hashes)
             out = []
             for i, (ident, label) in enumerate(zip(frame["__id"], frame["label"], strict=True)):
                 sh = word_shingles(hashes[word_at[i] : word_at[i + 1]])
