@@ -438,3 +438,26 @@ def test_word_hashes_take_little_memory():
     assert np.diff(offsets).tolist() == [300] * 2000 + [0, 0, 1, 2]
     for i in (0, 7, 1999, 2003):
         assert np.array_equal(hashes[offsets[i] : offsets[i + 1]], word_hashes([texts[i]])[1])
+
+
+@pytest.mark.parametrize("near", [1, 8])
+def test_postings_without_a_partner_go(spark, monkeypatch, near):
+    """Of a shingle's postings those go that can count for no pair; those of a pair that links all stay."""
+    import veilspark.llm.ngram_join as J
+
+    monkeypatch.setattr(J, "NEAR", near)
+    # token: (cid, n, pos)
+    blocks = {
+        1: [(1, 100, 0), (2, 1000, 0)],  # sizes too far apart
+        2: [(1, 100, 0), (3, 100, 5)],
+        3: [(1, 100, 20), (3, 100, 20)],  # too late in both for a pair to be counted here
+        4: [(1, 100, 0)],
+        5: [(1, 100, 0), (2, 1000, 0), (3, 110, 0), (4, 1100, 3), (5, 5000, 0)],
+        6: [(c, 100 + c, 20) for c in range(12)] + [(99, 9000, 0)],  # a large block goes by sizes
+    }
+    rows = np.array([(t, n, p, c) for t, b in blocks.items() for c, n, p in b], J.POSTING)
+    packed = spark.createDataFrame([(0, J._pack(rows[::2])), (0, J._pack(rows[1::2]))], "bucket int, data binary")
+    got = {}
+    for r in J.shared(packed).collect():
+        got.setdefault(r["token"], set()).add(r["cid"])
+    assert got == {2: {1, 3}, 5: {1, 2, 3, 4}, 6: set(range(12))}

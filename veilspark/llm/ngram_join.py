@@ -200,17 +200,40 @@ def postings(docs: DataFrame, level, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(trimmed(run), "bucket int, data binary")
 
 
+#: Blocks of at most one row more than this have their pairs tried one by one in ``shared``.
+NEAR = 8
+
+
+def _suited(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sizes of two postings of one shingle allow a link, and their positions that this block counts for it."""
+    need = need_of(a["n"], b["n"])
+    slack = slack_of(a["n"], b["n"], need)
+    sizes = PERCENT * np.maximum(a["n"], b["n"]) <= 100 * np.minimum(a["n"], b["n"])
+    return sizes & (a["pos"] <= a["n"] - need + slack) & (b["pos"] <= b["n"] - need + slack)
+
+
 def shared(packed: DataFrame) -> DataFrame:
-    """(token, cid, n, pos): the postings of shingles that at least two classes have."""
+    """(token, cid, n, pos): the postings of shingles that at least two classes have.
+
+    A posting stays only if the block holds another one that it can count with: a pair that links shares enough blocks in
+    which both are suited, and there both stay. Large blocks keep what a neighbour in the order of sizes allows.
+    """
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
         rows = np.unique(np.concatenate([_unpack(d) for d in frame["data"]]))
-        rows = rows[np.lexsort((rows["cid"], rows["token"]))]
+        rows = rows[np.lexsort((rows["cid"], rows["n"], rows["token"]))]
+        at = np.arange(len(rows))
         new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
+        begin = np.maximum.accumulate(np.where(new, at, 0))
         block = np.cumsum(new) - 1
-        several = np.zeros(block[-1] + 1, bool)
-        several[block[1:][(rows["cid"][1:] != rows["cid"][:-1]) & ~new[1:]]] = True
-        rows = rows[several[block]]
+        large = np.bincount(block)[block] > NEAR + 1
+        stays = np.zeros(len(rows), bool)
+        for d in range(1, NEAR + 1):
+            j = at[d:][begin[d:] <= at[:-d]]  # and j - d, in one block
+            a, b = rows[j - d], rows[j]
+            ok = np.where(large[j], (PERCENT * b["n"] <= 100 * a["n"]) & (d == 1), _suited(a, b) & (a["cid"] != b["cid"]))
+            stays[j[ok]] = stays[j[ok] - d] = True
+        rows = rows[stays]
         token = (np.int64(frame["bucket"].iloc[0]) << np.int64(32)) | rows["token"].astype(np.int64)
         return pd.DataFrame({"token": token, "cid": rows["cid"], "n": rows["n"], "pos": rows["pos"]})
 
