@@ -461,3 +461,34 @@ def test_postings_without_a_partner_go(spark, monkeypatch, near):
     for r in J.shared(packed).collect():
         got.setdefault(r["token"], set()).add(r["cid"])
     assert got == {2: {1, 3}, 5: {1, 2, 3, 4}, 6: set(range(12))}
+
+
+def test_ngram_join_takes_few_queries(spark, monkeypatch):
+    """Each query costs the driver memory: rounds end when nothing is left, and row counts come with the writes."""
+    import veilspark.llm.ngram_join as J
+
+    def last():
+        spark.range(1).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"]), "other words than those of the rest", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+    before = last()
+    found = J.ngram_components(docs)
+    took = last() - before - 1
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+    assert took <= 16
+    # without proposals the product finds the links
+    real = J.proposals
+    monkeypatch.setattr(J, "proposals", lambda *a: real(*a).limit(0))
+    assert {r["doc_id"]: r["component_id"] for r in J.ngram_components(docs).collect()} == want
+
+
+def test_measures_come_with_the_write(spark):
+    t = spark.range(7).where("id > 1")
+    assert common.measured(common.materialize(t, "some", {**common.ROWS, "s": "sum(id)"})) == {"rows": 5, "s": 20}
+    assert common.measured(common.materialize(t.join(t.where("id > 90"), "id"), "none", common.ROWS)) == {"rows": 0}
+    assert common.measured(common.materialize(t, "plain")) == {}

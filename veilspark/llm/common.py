@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SCRATCH = "/tmp/checkpoints"
@@ -33,25 +33,37 @@ def scratch_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: A measure for ``materialize``.
+ROWS = {"rows": "count(1)"}
+
+
+def materialize(df: DataFrame, name: str, measures: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
     The write's shuffle files go with its end, as later plans read the table instead; otherwise they stay until the driver
-    happens to collect its garbage.
+    happens to collect its garbage. ``measures`` are SQL aggregates taken while it writes, for ``measured``: queries of
+    their own would cost the driver memory and time.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/veilspark/{name}-{uuid.uuid4().hex}"
+    seen = Observation() if measures else None
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.observe(seen, *[F.expr(m).alias(k) for k, m in measures.items()]) if measures else df).write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     vars(out)["scratch_path"] = path
+    vars(out)["measured"] = seen.get if measures else {}
     return out
 
 
+def measured(t: DataFrame) -> dict:
+    """The measures of a table that ``materialize`` returned."""
+    return vars(t)["measured"]
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``materialize`` returned and that no later plan reads; anything else is left alone."""
     for t in tables:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_partitions, trimmed
+from .common import ROWS, discard, materialize, measured, shuffle_partitions, trimmed
 from .components import connected_components
 from .hashing import mix64, word_hashes, word_shingles
 
@@ -285,7 +285,7 @@ def unresolved(places: DataFrame, nodes: DataFrame, found: DataFrame | None, sal
     nodes = nodes.join(found.withColumnRenamed("node", "cid"), "cid", "left")
     rows = places.join(nodes.select("cid", "level", F.coalesce("component", "cid").alias("component")), "cid")
     several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = materialize(rows.join(several, "token", "left_semi"), "unresolved")
+    rows = materialize(rows.join(several, "token", "left_semi"), "unresolved", ROWS)
     heads = [f"h{k}" for k in range(HEADS)]
     parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), *[F.max(rank(k)).alias(h) for k, h in enumerate(heads)])
     blocks = parts.groupBy("token").agg(F.sum("k").alias("rows"), F.max(F.struct("k", *heads, "component")).alias("main"))
@@ -424,8 +424,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     stars = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
     members = pairs.join(stars, "b").select(F.col("b").alias("hub"), F.pmod(_rank("a", 3), F.ceil(F.col("k") / F.lit(STAR))).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("cid"))
     heads = members.select("hub", "salt").distinct().select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("cid"))
-    wanted = materialize(members.unionByName(heads).join(classes.select("cid", F.col("doc_id").alias("__w")), "cid"), "wanted")
-    lookup = F.broadcast(wanted) if wanted.count() <= LOOKUP_ROWS else wanted
+    wanted = materialize(members.unionByName(heads).join(classes.select("cid", F.col("doc_id").alias("__w")), "cid"), "wanted", ROWS)
+    lookup = F.broadcast(wanted) if measured(wanted)["rows"] <= LOOKUP_ROWS else wanted
     rows = docs.join(lookup, F.col("doc_id").eqNullSafe(F.col("__w"))).select("hub", "salt", "role", "cid", "text")
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
@@ -445,7 +445,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                         b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
 
-    linked = materialize(rows.mapInArrow(trimmed(run), "a long, b long").distinct(), "links")
+    linked = materialize(rows.mapInArrow(trimmed(run), "a long, b long").distinct(), "links", ROWS)
     discard(wanted)
     return linked
 
@@ -469,29 +469,39 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = meta.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     buckets = 4 * shuffle_partitions(spark)
     places = materialize(shared(postings(docs, level, buckets)), "postings")
+    level.destroy()
     nodes = materialize(nodes_of(places), "nodes")
-    found = links = tested = None
-    held, done = places, [nodes]
-    for k in range(ROUNDS + 1):
+    found = tested = None
+    held, done, k = places, [nodes], 0
+    while k <= ROUNDS:
         rows, blocks = unresolved(places, nodes, found, HEADS * k)
         if k:  # a table of its own, which replaces the one it was made from
             discard(held)
             held = rows
+            if not measured(rows)["rows"]:
+                break
         places = rows.select(*places.columns)
         if k < ROUNDS:
-            pairs = materialize(proposals(rows, blocks, nodes, tested), "pairs")
-        else:
+            pairs = materialize(proposals(rows, blocks, nodes, tested), "pairs", ROWS)
+            done.append(pairs)
+            if k and not measured(pairs)["rows"]:  # no representative is left to meet
+                k = ROUNDS
+        if k == ROUNDS:
             blocks = materialize(blocks, "blocks")
             pairs = survivors(products(rows, blocks, buckets))
-            pairs = materialize(_untested(pairs, tested), "pairs")
+            pairs = materialize(_untested(pairs, tested), "pairs", ROWS)
+            done.append(pairs)
             discard(held, blocks)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        made = verify(pairs, docs, classes)
-        links = made if links is None else links.unionByName(made)
-        done += [pairs, made]
-        if k == 0 or not made.isEmpty():
-            earlier, found = found, connected_components(links)
+        made = verify(pairs, docs, classes) if measured(pairs)["rows"] else pairs
+        done.append(made)
+        if found is None:
+            found = connected_components(made)
+        elif measured(made)["rows"]:  # what is known already is a star to each component, and new links join stars
+            earlier, found = found, connected_components(made.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
             discard(earlier)
+        k += 1
+    done.append(held)
     discard(*done)  # what follows reads only the descriptions and the components
     by_class = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component"))
     least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
